@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import doc_batches, documents, id_remainder, read_table, written
 
@@ -141,6 +142,23 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """All columns of docs with _lang_pred added, as predict_languages gives it, without a join."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            texts = batch.column(at)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = [profiles.predict(t.as_py())[0] for t in texts.slice(k, 512)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "_lang_pred"]
+                )
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType())]))
+
+
 def fit(docs: DataFrame) -> Profiles:
     """Profiles of all labelled rows whose crc32(doc_id) mod 4 is not 2."""
     labelled = docs.select(

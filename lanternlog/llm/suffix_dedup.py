@@ -473,6 +473,31 @@ def kept_text(text: str | None, starts: list[int], ends: list[int]) -> str | Non
     return kept_bytes(data, *whole_characters(data, starts, ends)).decode()
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with its repeated spans cut out of text and n_chars set anew; other columns stay, null texts stay null.
+
+    Characters that a span cuts are kept whole, so that the text stays valid.
+    """
+    spanned = repeated_spans(docs, length)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            texts = [
+                kept_text(t.as_py(), a.as_py(), b.as_py())
+                for t, a, b in zip(*(batch.column(at[c]) for c in ("text", "span_starts", "span_ends")), strict=True)
+            ]
+            cols = {n: batch.column(at[n]) for n in names}
+            cols["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    out = spanned.mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 def op2_suffix_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     schema = pa.schema(
