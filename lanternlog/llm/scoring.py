@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_batches, documents, read_table, remainder, shuffle_partitions, written
+from .shared import doc_batches, documents, read_table, released, remainder, shuffle_partitions, written
 
 BLOCK_BYTES = 8 << 20
 #: Documents with this remainder of crc32(doc_id) mod FOLDS are not learned from.
@@ -147,34 +147,48 @@ def _requests(block: Block, number: int, bits: int, **counts: np.ndarray):
         yield number, p, _pack(keys=block.keys[span], **{k: v[span] for k, v in counts.items()})
 
 
-def _coded(docs: DataFrame, bits: int) -> DataFrame:
-    """A block's documents (part -1) and its requests, for all documents (even numbers) and for development (odd)."""
+def _batches(rows: list):
+    for at in range(0, len(rows), 64):
+        cols = zip(*rows[at : at + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, CODED.types, strict=True)], schema=CODED)
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """Blocks of coded documents: all of them under even numbers, the development ones also under odd numbers."""
 
     def run(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         for ids, texts in doc_batches(batches, BLOCK_BYTES):
-            block = Block.coded(ids, texts)
-            learned = np.array([remainder(i, FOLDS) != HELD_OUT for i in ids])
-            aside = np.array([is_development(i) for i in ids])
-            rows = [(2 * number, -1, block.packed())]
-            rows += _requests(block, 2 * number, bits, all=block.sums(learned), fit=block.sums(learned & ~aside))
-            if aside.any():
-                some = [i for i, a in enumerate(aside) if a]
+            rows = [(2 * number, -1, Block.coded(ids, texts).packed())]
+            some = [i for i, doc_id in enumerate(ids) if is_development(doc_id)]
+            if some:
                 small = Block.coded([ids[i] for i in some], [texts[i] for i in some])
                 rows.append((2 * number + 1, -1, small.packed()))
-                rows += _requests(small, 2 * number + 1, bits)
             number += 1
-            for at in range(0, len(rows), 64):
-                cols = zip(*rows[at : at + 64], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, CODED.types, strict=True)], schema=CODED
-                )
+            yield from _batches(rows)
 
     return documents(docs).mapInArrow(run, CODED_DDL)
 
 
+def _asked(coded: DataFrame, bits: int) -> DataFrame:
+    """Each block's requests, by part; those of all documents bring along what they count."""
+
+    def run(batches):
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                block = Block.unpacked(data.as_py())
+                counts = {}
+                if not number & 1:
+                    learned = np.array([remainder(i, FOLDS) != HELD_OUT for i in block.ids])
+                    aside = np.array([is_development(i) for i in block.ids])
+                    counts = {"all": block.sums(learned), "fit": block.sums(learned & ~aside)}
+                yield from _batches(list(_requests(block, number, bits, **counts)))
+
+    return coded.mapInArrow(run, CODED_DDL)
+
+
 def _answers(requests: DataFrame) -> DataFrame:
     """For each request its keys' totals; block -1 has each part's distinct words, and tokens learned from and fitted."""
 
@@ -319,13 +333,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bits = max(4, (2 * shuffle_partitions(spark) - 1).bit_length())
-    coded = written(_coded(docs, bits), "lm-coded")
-    answers = written(_answers(coded.where("part >= 0")), "lm-answers")
+    # The requests are shuffled as they are made; only the coded documents and the answers are written.
+    coded = written(_coded(docs), "lm-coded")
+    answers = written(_answers(_asked(coded, bits)), "lm-answers")
+    released()
     totals = np.zeros(3, np.int64)
     for r in answers.where("block = -1").select("data").collect():  # one row for each part
         totals += np.frombuffer(r["data"], "<i8")
     distinct, n, n_fit = totals.tolist()
-    both = coded.where("part = -1").unionByName(answers.where("block >= 0"))
+    both = coded.unionByName(answers.where("block >= 0"))
     # The grid bounds this table: at most BUCKETS x (128 x GRID)^2 cells, of which a corpus fills a small part.
     events = _events(both.where("block % 2 = 1"), n_fit, distinct).collect()
     weights = learn_weights(events)

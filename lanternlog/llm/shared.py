@@ -51,7 +51,7 @@ def released(*tables: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
     gc.collect()
-    jvm.System.gc()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def clean(spark: SparkSession) -> None:
