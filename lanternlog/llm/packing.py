@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,10 @@ PIECES_DDL = "uid long, doc_id long, piece int, start long, length long, ids_crc
 _loaded: dict = {}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """The little-endian unsigned 32-bit ids of each pre-token, filled by the library once for each."""
 
@@ -50,7 +54,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.alone = Tokenizer.from_file(path)
         added = self.alone.get_added_tokens_decoder()
-        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.special = {t.content: pack_ids([i]) for i, t in added.items()}
         parts = sorted(self.special, key=len, reverse=True)
         self.find = re.compile("(" + "|".join(map(re.escape, parts)) + ")") if parts else None
         self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -72,7 +76,7 @@ class WordIds:
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             for w, e in zip(some, self.alone.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+                self.ids[w] = pack_ids(e.ids)
 
 
 def word_ids(path: str) -> WordIds:
@@ -98,7 +102,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        table, last = word_ids(path), np.array([end], "<u4").tobytes()
+        table, last = word_ids(path), pack_ids([end])
         for ids, texts in doc_batches(batches, BLOCK_BYTES):
             found = [table.split(t) for t in texts]
             table.learn(set().union(*found))
@@ -197,9 +201,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list) -> list[int
     """The best packing found, as a bin number for each item. elites: packings from elsewhere that join in."""
     rng = random.Random(seed)
     everyone = [from_labels(e, sizes, capacity) for e in elites]
-    lowest = -(-sum(sizes) // capacity)
+    lowest = -(-sum(sizes) // capacity)  # a packing of so many bins can't be improved
     spread = 0.0
-    while len(everyone) < POPULATION:
+    while len(everyone) < POPULATION and not any(len(e.bins) <= lowest for e in everyone):
         one = Bins(capacity)
         key = [-s * (1 + spread * rng.random()) for s in sizes]
         for i in sorted(range(len(sizes)), key=lambda i: (key[i], i)):
@@ -208,7 +212,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list) -> list[int
         spread += 0.15 + 0.1 * (seed % 3)
     for _ in range(GENERATIONS):
         everyone.sort(key=rank_of)
-        if len(everyone[0].bins) <= lowest:
+        if len(everyone[0].bins) <= lowest or len(everyone) < 2:
             break
         del everyone[POPULATION:]
         for _ in range(POPULATION // 2):
@@ -246,7 +250,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sizes = batch.column(3)[r].as_py()
                 elites = batch.column(4)[r].as_py() or []
                 labels = evolve(sizes, capacity, (group * ISLANDS + island) * EPOCHS + epoch, elites)
-                one = Bins(capacity)
                 one = from_labels(labels, sizes, capacity)
                 out = [[group], [island], [len(one.bins)], [fitness(one.free, capacity)], [labels]]
                 yield pa.RecordBatch.from_arrays(
