@@ -1,4 +1,250 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with SQL that says the same on the base columns."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators.correlate import correlate
+from .operators.search import alerts, first_matches, matching, rule_matches, search
+from .plans.sigma import parse_documents
+
+# Fixed values of the adapter: a small event id for each type.
+CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
+
+
+def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as events: metadata columns, and event data with mixed JSON types."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    code = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(c)) for t, c in CODES.items())).cast("bigint")
+    user = F.col("user_id")
+    data = F.struct(
+        user.cast("string").alias("User"),
+        F.concat(F.lit("C:\\Users\\u"), user.cast("string"), F.lit("\\"), F.col("event_type"), F.lit(".exe")).alias("Image"),
+        F.concat(F.lit("10.0."), (user % 4).cast("string"), F.lit("."), user.cast("string")).alias("IpAddress"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        F.concat(F.col("event_type"), F.lit(" -enc /x")).alias("CommandLine"),
+        (user % 2 == 0).alias("Even"),
+        F.when(user % 3 == 0, F.lit("x")).alias("Third"),
+        F.struct(F.lit(1).alias("b")).alias("Nested"),
+    )
+    raw_json = F.to_json(F.struct(F.struct(data.alias("EventData")).alias("Event")))
+    return events.select(
+        F.lit(0).alias("file_seq"),
+        F.col("event_id").alias("rec_seq"),
+        F.lit("events").alias("file_path"),
+        F.lit("").alias("collection_root"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.col("event_id").alias("record_id"),
+        F.col("event_type").alias("channel"),
+        F.lit("app").alias("provider"),
+        code.alias("event_id"),
+        F.concat(F.lit("host-"), (user % 10).cast("string")).alias("computer"),
+        F.parse_json(raw_json).alias("raw"),
+        raw_json.alias("raw_json"),
+    )
+
+
+D = "Event.EventData."
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+# A search, and the condition on the base table that says the same.
+SEARCHES = {
+    "eq_number": ("event.id == 2", "event_type = 'error'"),
+    "eq_string": (f'{D}User == "7"', "user_id = 7"),
+    "eq_bool": (f"{D}Even == true", "user_id % 2 = 0"),
+    "eq_number_text": (f"{D}User == 7", "user_id = 7"),
+    "neq": (f'{D}Third != "y"', "user_id % 3 = 0"),
+    "lt": (f"{D}k < 10", f"{K} < 10"),
+    "lte": (f"{D}k <= 10", f"{K} <= 10"),
+    "gt": (f"{D}k > 90", f"{K} > 90"),
+    "gte": ("record_id >= 500", "event_id >= 500"),
+    "order_text": (f'computer >= "host-8"', "user_id % 10 >= 8"),
+    "order_time": ('timestamp < "2024-01-03T00:00:00+01:00"', "ts < TIMESTAMP '2024-01-02 23:00:00'"),
+    "in_list": ('event.id in (1, "4")', "event_type IN ('click', 'signup')"),
+    "contains": (f'{D}Image contains "error"', "event_type = 'error'"),
+    "contains_ci": (f'{D}Image contains_ci "ERROR.EXE"', "event_type = 'error'"),
+    "regex": (f"{D}Image =~ /U[0-9]{{2}}\\\\(view|click)/i", "user_id BETWEEN 10 AND 99 AND event_type IN ('view', 'click')"),
+    "not_regex": (f"{D}Third !~ /x/", "user_id % 3 <> 0"),
+    "exists": (f"exists({D}Third)", "user_id % 3 = 0"),
+    "cidr": (f'cidr_contains({D}IpAddress, "10.0.2.0/25")', "user_id % 4 = 2 AND user_id <= 127"),
+    "bool_logic": (
+        f'not (event.id == 1 or event.id == 2) and (computer == "host-3" or {D}k < 5)',
+        f"event_type NOT IN ('click', 'error') AND (user_id % 10 = 3 OR {K} < 5)",
+    ),
+    "present_object": (f'{D}Nested != "x" and not {D}Nested == "x" and event.id == 3', "event_type = 'purchase'"),
+    "missing_compare": (f"{D}Nope < 5 or {D}Third == \"x\"", "user_id % 3 = 0"),
+}
+# Detection items of one rule each, and the condition that says the same.
+DETECTIONS = {
+    "eq_ci": ("sel: {Image: 'C:\\USERS\\U7\\ERROR.EXE'}, condition: sel", "user_id = 7 AND event_type = 'error'"),
+    "wildcard": ("sel: {Image: '*\\u?\\click*'}, condition: sel", "user_id < 10 AND event_type = 'click'"),
+    "contains_all": ("sel: {'Image|contains|all': [U1, view]}, condition: sel", "CAST(user_id AS VARCHAR) LIKE '1%' AND event_type = 'view'"),
+    "startswith": ("sel: {'CommandLine|startswith': ERR}, condition: sel", "event_type = 'error'"),
+    "endswith": ("sel: {'Image|endswith': VIEW.EXE}, condition: sel", "event_type = 'view'"),
+    "cased": ("sel: {'Image|endswith|cased': VIEW.EXE}, condition: sel", "false"),
+    "null_value": ("sel: {Third: null}, condition: sel", "user_id % 3 <> 0"),
+    "exists": ("sel: {'Third|exists': false}, condition: sel", "user_id % 3 <> 0"),
+    "neq": ("sel: {'User|neq': 7}, condition: sel", "user_id <> 7"),
+    "numeric": ("sel: {'k|gte': 90, 'k|lt': 95}, condition: sel", f"{K} >= 90 AND {K} < 95"),
+    "regex": ("sel: {'Image|re|i': 'U[0-9]+.ERROR'}, condition: sel", "event_type = 'error'"),
+    "cidr": ("sel: {'IpAddress|cidr': ['10.0.1.0/26', '10.0.3.0/24']}, condition: sel", "(user_id % 4 = 1 AND user_id < 64) OR user_id % 4 = 3"),
+    "fieldref": ("sel: {'User|fieldref': k}, condition: sel", f"user_id = {K}"),
+    "hour": ("sel: {'timestamp.x|exists': false, 'event.timestamp|hour': 5}, condition: sel", "hour(ts) = 5"),
+    "week": ("sel: {'event.timestamp|week': 3}, condition: sel", "week(ts) = 3"),
+    "windash": ("sel: {'CommandLine|windash|contains': ' /enc -x'}, condition: sel", "true"),
+    "base64": ("sel: {'User|base64|contains': x}, condition: sel", "false"),
+    "keyword": ("words: ['\\\\u7\\\\', purchase.exe], condition: words", "user_id = 7 OR event_type = 'purchase'"),
+    "keyword_all": ("words: {'|all': [U9, Signup]}, condition: words", "event_type = 'signup' AND CAST(user_id AS VARCHAR) LIKE '9%'"),
+    "one_of": ("s_a: {EventID: 1}, s_b: {EventID: 4}, other: {EventID: 5}, condition: 1 of s_*", "event_type IN ('click', 'signup')"),
+    "all_of": ("a: {EventID: 2}, b: {'k|lt': 50}, condition: all of them", f"event_type = 'error' AND {K} < 50"),
+    "not_list": ("a: {EventID: [1, 2]}, b: [{k: 3}, {k: 4}], condition: [b and not a, 'a and b']", f"{K} IN (3, 4)"),
+}
+
+
+def _search(text: str):
+    return lambda spark, sf_dir: matching(adapted(spark, sf_dir), text).select("record_id", "computer")
+
+
+def _detect(items: str):
+    def run(spark, sf_dir):
+        rules = parse_documents(f"title: t\ndetection: {{{items}}}\n")
+        return rule_matches(adapted(spark, sf_dir), rules).select("record_id", "computer")
+
+    return run
+
+
+def _where(condition: str) -> str:
+    return f"SELECT event_id AS record_id, 'host-' || CAST(user_id % 10 AS VARCHAR) AS computer FROM events WHERE {condition}"
+
+
+SOURCE_CODE = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {c}" for t, c in CODES.items()) + " END"
+
+
+def _summary(text: str, **cast: str):
+    def run(spark, sf_dir):
+        out = search(adapted(spark, sf_dir), text)
+        for name, how in cast.items():
+            out = out.withColumn(name, F.array_join(name, ",") if how == "join" else F.col(name).cast(how))
+        return out
+
+    return run
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(
+        f"event.id in (2, 3) and {D}k >= 20 | summarize users=make_set({D}User), total=count() by host=computer, type=channel",
+        users="join",
+    )(spark, sf_dir)
+
+
+RULES = """
+title: Errors
+name: errors
+id: r1
+level: high
+tags: [a, b]
+detection: {sel: {EventID: 2}, condition: sel}
+---
+title: Large
+name: large
+id: r2
+level: low
+detection: {sel: {'k|gte': 95}, condition: sel}
+---
+title: Purchases of even users
+name: buys
+id: r3
+level: medium
+detection: {sel: {EventID: 3, Even: true}, condition: sel}
+---
+title: Many errors
+level: critical
+correlation: {type: event_count, rules: [errors], group-by: [User], timespan: 12h, condition: {gte: 3}}
+"""
+
+
+def hunt_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = parse_documents(RULES)
+    found = alerts(rule_matches(adapted(spark, sf_dir), rules), rules)
+    return found.select(F.col("rule.id").alias("rule_id"), F.col("rule.level").alias("level"), F.col("event.record_id").alias("record_id"))
+
+
+def hunt_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three errors of a user on a host within 12 hours and the lateness; told once while it holds."""
+    rules = parse_documents(RULES)
+    out = correlate(rule_matches(adapted(spark, sf_dir), rules), rules)
+    return out.select(F.col("scope").alias("host"), F.col("groups")[0].alias("user"), "time_us", "window_start_us", F.size("seqs").cast("long").alias("n"))
+
+
+def keep_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search(adapted(spark, sf_dir), f"event.id == 4 | keep {D}User, {D}k, {D}Third, {D}Nested")
+    f = F.col("fields")
+    return out.select("record_id", *(f.getField(D + n).alias(n.lower()) for n in ("User", "k", "Third", "Nested")))
+
+
+def limit_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_matches(matching(adapted(spark, sf_dir), "event.id == 1"), 25).select("record_id")
+
+
+CORRELATION_SQL = f"""
+WITH e AS (
+  SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS u, 'host-' || CAST(user_id % 10 AS VARCHAR) AS host, epoch_us(ts) AS t
+  FROM events WHERE event_type = 'error'
+), marked AS (
+  SELECT *, max(t) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - 120000000 AS wm FROM e
+), fed AS (SELECT * FROM marked WHERE t >= wm),
+windows AS (
+  SELECT a.seq, a.u, a.host, a.t, count(*) AS n, min(b.t) AS first
+  FROM fed a JOIN fed b ON a.u = b.u AND b.seq <= a.seq AND b.t >= a.wm - 43200000000
+  GROUP BY ALL
+), told AS (
+  SELECT *, lag(n) OVER (PARTITION BY u ORDER BY seq) AS before FROM windows
+)
+SELECT host, u AS "user", t AS time_us, first AS window_start_us, CAST(n AS BIGINT) AS n
+FROM told WHERE n >= 3 AND (before IS NULL OR before < 3)
+"""
+
+QUERIES = {f"search_{n}": _search(text) for n, (text, _) in SEARCHES.items()}
+QUERIES |= {f"rule_{n}": _detect(items) for n, (items, _) in DETECTIONS.items()}
+QUERIES |= {
+    "flagship": flagship,
+    "keep_projection": keep_projection,
+    "limit_ordered": limit_ordered,
+    "summarize_count": _summary(f"{D}k >= 50 | summarize n=count() by channel, third={D}Third"),
+    "summarize_make_set": _summary(f"event.id == 2 | summarize s=make_set({D}k) by computer", s="join"),
+    "summarize_capped": _summary(f"event.id != 2 | summarize s=make_set({D}User, 3), n=count() by channel", s="join"),
+    "summarize_by_only": _summary("record_id > 100 | summarize by computer, channel"),
+    "summarize_global": _summary("event.id == 5 | summarize count()"),
+    "summarize_global_empty": _summary("event.id == 99 | summarize count()"),
+    "hunt_alerts": hunt_alerts,
+    "hunt_correlation": hunt_correlation,
+}
+
+HOST = "'host-' || CAST(user_id % 10 AS VARCHAR)"
+ORACLE_SQL = {f"search_{n}": _where(c) for n, (_, c) in SEARCHES.items()}
+ORACLE_SQL |= {f"rule_{n}": _where(c) for n, (_, c) in DETECTIONS.items()}
+ORACLE_SQL |= {
+    "flagship": f"""SELECT {HOST} AS host, event_type AS type,
+  array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR))), ',') AS users, count(*) AS total
+  FROM events WHERE event_type IN ('error', 'purchase') AND {K} >= 20 GROUP BY 1, 2""",
+    "keep_projection": f"""SELECT event_id AS record_id, CAST(user_id AS VARCHAR) AS "user", CAST({K} AS VARCHAR) AS k,
+  CASE WHEN user_id % 3 = 0 THEN 'x' END AS third, CAST(NULL AS VARCHAR) AS nested FROM events WHERE event_type = 'signup'""",
+    "limit_ordered": "SELECT event_id AS record_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 25",
+    "summarize_count": f"""SELECT event_type AS channel, CASE WHEN user_id % 3 = 0 THEN 'x' END AS third, count(*) AS n
+  FROM events WHERE {K} >= 50 GROUP BY 1, 2""",
+    "summarize_make_set": f"""SELECT {HOST} AS computer, array_to_string(list_sort(list(DISTINCT CAST({K} AS VARCHAR))), ',') AS s
+  FROM events WHERE event_type = 'error' GROUP BY 1""",
+    "summarize_capped": """WITH f AS (
+    SELECT event_type, CAST(user_id AS VARCHAR) AS u, min(event_id) AS first_at FROM events WHERE event_type <> 'error' GROUP BY 1, 2
+  ), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY first_at) AS k FROM f),
+  s AS (SELECT event_type, array_to_string(list_sort(list(u)), ',') AS s FROM r WHERE k <= 3 GROUP BY 1)
+  SELECT s.event_type AS channel, s.s, c.n FROM s
+  JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) c ON c.event_type = s.event_type""",
+    "summarize_by_only": f"SELECT DISTINCT {HOST} AS computer, event_type AS channel FROM events WHERE event_id > 100",
+    "summarize_global": "SELECT count(*) AS count FROM events WHERE event_type = 'view' HAVING count(*) > 0",
+    "summarize_global_empty": "SELECT count(*) AS count FROM events WHERE false HAVING count(*) > 0",
+    "hunt_alerts": f"""SELECT 'r1' AS rule_id, 'high' AS level, event_id AS record_id FROM events WHERE event_type = 'error'
+  UNION ALL SELECT 'r2', 'low', event_id FROM events WHERE {K} >= 95
+  UNION ALL SELECT 'r3', 'medium', event_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0""",
+    "hunt_correlation": CORRELATION_SQL,
+}
