@@ -336,15 +336,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # The requests are shuffled as they are made; only the coded documents and the answers are written.
     coded = written(_coded(docs), "lm-coded")
     answers = written(_answers(_asked(coded, bits)), "lm-answers")
-    released()
     totals = np.zeros(3, np.int64)
     for r in answers.where("block = -1").select("data").collect():  # one row for each part
         totals += np.frombuffer(r["data"], "<i8")
     distinct, n, n_fit = totals.tolist()
+    released()  # the requests' shuffle files; the scheduler lets go of a job only after the next one
     both = coded.unionByName(answers.where("block >= 0"))
     # The grid bounds this table: at most BUCKETS x (128 x GRID)^2 cells, of which a corpus fills a small part.
     events = _events(both.where("block % 2 = 1"), n_fit, distinct).collect()
     weights = learn_weights(events)
+    released()
     scored = _scores(both.where("block % 2 = 0"), weights, n, distinct)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
