@@ -43,14 +43,23 @@ SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_s
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as planes, all first bytes before all second ones: sorted keys and small counts then compress well."""
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    planes = {}
+    for name, x in arrays.items():
+        x = np.ascontiguousarray(x)
+        planes[f"{name}|{x.dtype.str}"] = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    np.savez(out, **planes)
     return out.getvalue()
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
+    out = {}
     with np.load(io.BytesIO(data)) as f:
-        return {k: f[k] for k in f.files}
+        for name in f.files:
+            key, kind = name.split("|", 1)
+            out[key] = np.ascontiguousarray(f[name].T).view(kind).reshape(-1)
+    return out
 
 
 def tokens(text: str) -> list[bytes]:
