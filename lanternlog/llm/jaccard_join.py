@@ -287,6 +287,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         sets.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("parts").alias("parts")),
         "join-classes",
     )
+    # The parts go on with the classes alone; each table and shuffle that has served is released.
+    slim = written(sets.select("doc_id", F.col("n").alias("n_shingles"), "set_hash"), "join-rows")
+    released(sets)
     parts = classes.select("set_hash", F.explode("parts").alias("part"))
     hubs = written(
         parts.groupBy("part").agg(F.min("set_hash").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"),
@@ -296,11 +299,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         parts.join(hubs, "part").where("set_hash != hub").select(F.col("set_hash").alias("a"), F.col("hub").alias("b")).distinct(),
         "join-star",
     )
+    members = written(classes.select("set_hash", "doc_id"), "join-names")
+    released(classes, hubs)
+    classes = members
     route = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
     routes = written(route, "join-routes")
-    candidates = written(
-        classes.select("set_hash", "doc_id").join(routes, "set_hash").where("doc_id is not null"), "join-candidates"
-    )
+    candidates = written(classes.join(routes, "set_hash").where("doc_id is not null"), "join-candidates")
 
     set_schema = pa.schema([("set_hash", pa.int64()), ("route", pa.int64()), ("shingles", pa.binary())])
 
@@ -325,8 +329,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         .dropDuplicates(["set_hash"]),
         "join-held",
     )
-    released(hubs)
     of = written(held.groupBy("route").agg(F.count(F.lit(1)).alias("members")), "join-members")
+    released(routes, candidates)
     block = F.pmod(F.xxhash64("set_hash"), F.ceil(F.col("members") / BLOCK_SETS).cast("long"))
     blocks = held.join(of, "route").select("set_hash", "route", "shingles", block.alias("block"))
     tasks = 4 * shuffle_partitions(spark)
@@ -342,7 +346,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         blocks.withColumn("task", task).groupBy("task").applyInArrow(inside, "a long, b long"), "join-links"
     )
     several = of.where(F.col("members") > BLOCK_SETS)
-    if several.limit(1).count():
+    some = several.limit(1).count()
+    released()
+    if some:
         links = _across_blocks(held, several, star, links, percent, tasks)
     comp = written(components(links), "join-components")
     named = classes.select("set_hash", "doc_id").join(
@@ -354,8 +360,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         named.select("set_hash", root.alias("root")).join(least, "root").select("set_hash", "component_id"), "join-named"
     )
     return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"), "set_hash")
-        .join(names, "set_hash", "left")
+        slim.join(names, "set_hash", "left")
         .select(
             "doc_id", "n_shingles", "set_hash", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
         )
@@ -366,9 +371,11 @@ def _labelled(held: DataFrame, several: DataFrame, links: DataFrame) -> DataFram
     """The sets of neighbourhoods of several blocks that still have several components, with those."""
     comp = components(links).select(F.col("node").alias("set_hash"), "component")
     mine = held.join(several.select("route"), "route").join(comp, "set_hash", "left")
-    mine = written(mine.withColumn("component", F.coalesce("component", "set_hash")), "join-labelled")
-    open_ = mine.groupBy("route").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    return written(mine.join(open_.select("route"), "route"), "join-open")
+    mine = mine.withColumn("component", F.coalesce("component", "set_hash"))
+    names = written(mine.drop("shingles"), "join-labelled")
+    open_ = names.groupBy("route").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    still = names.join(open_.select("route"), "route").select("set_hash", "component")
+    return written(held.join(still, "set_hash"), "join-open")
 
 
 def _across_blocks(held, several, star, links, percent: int, tasks: int) -> DataFrame:
@@ -394,7 +401,9 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
 
     pairs = star.join(one, "a").join(two, "b").where("ca != cb").select("a", "b", "mine", "theirs")
     links = written(links.union(pairs.mapInArrow(verify, "a long, b long")), "join-links")
+    first = open_
     open_ = _labelled(held, several, links)
+    released(first)
     sizes = open_.groupBy("route", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("route").agg(
         F.sum("c").alias("members"), F.max(F.struct(F.col("c"), F.col("component"))).alias("top")
