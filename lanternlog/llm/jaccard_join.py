@@ -118,7 +118,7 @@ def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
         d = lim.differing(band)
         if d == 0:
             continue  # only equal sets could link, and those are one class already
-        parts = d + 2 + d // 16
+        parts = d + 2 + d // 4  # a quarter more, so that more than d hold something even for a band's small sets
         own = (spread % U(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, own, _scrambled(shingles ^ U(0xD6E8FEB86659FD93)))
@@ -387,8 +387,14 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
     """
     lim = limits(percent)
     open_ = _labelled(held, several, links)
-    one = open_.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"), F.col("component").alias("ca"))
-    two = open_.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"), F.col("component").alias("cb"))
+    sized = open_.select("set_hash", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    one = sized.select(F.col("set_hash").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    two = sized.select(F.col("set_hash").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    apart = star.join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
+    apart = written(apart, "join-apart")
+    mine = open_.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
+    theirs = open_.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
 
     def verify(batches):
         for batch in batches:
@@ -399,7 +405,7 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
                     rows.append((a.as_py(), b.as_py()))
             yield from _edges(rows).to_batches()
 
-    pairs = star.join(one, "a").join(two, "b").where("ca != cb").select("a", "b", "mine", "theirs")
+    pairs = apart.join(mine, "a").join(theirs, "b").select("a", "b", "mine", "theirs")
     links = written(links.union(pairs.mapInArrow(verify, "a long, b long")), "join-links")
     first = open_
     open_ = _labelled(held, several, links)
