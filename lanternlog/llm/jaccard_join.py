@@ -23,14 +23,18 @@ from .components import components
 from .shared import doc_batches, documents, read_table, released, shuffle_partitions, written
 
 BLOCK_BYTES = 4 << 20
-#: Sets in one block of a neighbourhood.
-BLOCK_SETS = 256
+#: Sets in one block of a neighbourhood, and the bytes of their shingles; the larger number of blocks holds.
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 4 << 20
 FANOUT = 16
 BITS = 1024
 #: Sizes of a band reach from its start to this many times it.
 BAND = 1.5
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64()), ("parts", pa.list_(pa.int64()))])
-SETS_DDL = "doc_id long, n long, set_hash long, parts array<long>"
+SETS = pa.schema(
+    [("task", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64())]
+    + [("part", pa.binary()), ("at", pa.binary()), ("own", pa.binary())]
+)
+SETS_DDL = "task long, doc_id long, n long, set_hash long, part binary, at binary, own binary"
 U = np.uint64
 
 
@@ -104,6 +108,10 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def _set_hash(shingles: np.ndarray) -> np.int64:
+    return _scrambled(shingles.sum(keepdims=True) + U(len(shingles))).view(np.int64)[0]
+
+
 def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The set's part hashes in each band where a partner could be.
 
@@ -238,21 +246,91 @@ def _may(x: SignatureTree, i: np.ndarray, y: SignatureTree, j: np.ndarray, at: i
     return np.ones(len(i), bool)
 
 
-def _set_rows(batches, words: int, percent: int):
+def _set_rows(batches, words: int, percent: int, tasks: int):
+    """A row for each text, and for each task the parts that it meets: their hashes in order of the sets that have them."""
+    turn = 0
     for ids, texts in doc_batches(batches, BLOCK_BYTES):
         found = shingle_sets(texts, words)
-        hashes = [int(_scrambled(s.sum(keepdims=True) + U(len(s))).view(np.int64)[0]) if len(s) else None for s in found]
-        parts = [part_hashes(s, percent) for s in found]
-        bounds = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+        hashes = [int(_set_hash(s)) if len(s) else None for s in found]
+        turns = np.arange(turn, turn + len(ids)) % tasks
+        turn += len(ids)
+        none = pa.nulls(len(ids), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [
+                pa.array(turns, pa.int64()),
                 pa.array(ids, pa.int64()),
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array(hashes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts))),
+                none,
+                none,
+                none,
             ],
             schema=SETS,
         )
+        # Equal sets of a block give their parts once, so that copies do not gather where their parts are met.
+        once = {h: i for i, h in enumerate(hashes) if h is not None}
+        if not once:
+            continue
+        own = np.fromiter(once, np.int64, len(once))
+        parts = [part_hashes(found[i], percent) for i in once.values()]
+        which = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
+        code = np.concatenate(parts)
+        task = (code.view(np.uint64) % U(tasks)).astype(np.int64)
+        order = np.argsort(task, kind="stable")
+        code, which, task = code[order], which[order], task[order]
+        starts = np.flatnonzero(np.diff(task, prepend=-1))
+        rows = []
+        for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
+            sets, at = np.unique(which[lo:hi], return_inverse=True)
+            rows.append((int(task[lo]), code[lo:hi].tobytes(), at.astype(np.uint32).tobytes(), own[sets].tobytes()))
+        for k in range(0, len(rows), 1024):
+            cols = list(zip(*rows[k : k + 1024], strict=True))
+            empty = pa.nulls(len(cols[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), empty, empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])],
+                schema=SETS,
+            )
+
+
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("text_row", pa.bool_())])
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """A task's rows of texts as they are (a: the set's hash), and a row (a, b) for each set a that shares a part with b.
+
+    b is the smallest hash of a set that has the part, the same for all that have it.
+    """
+    import pyarrow.compute as pc
+
+    packed = pc.is_valid(table["part"])
+    texts = table.filter(pc.invert(packed))
+    codes, owns = [], []
+    some = table.filter(packed)
+    for code, at, own in zip(some["part"], some["at"], some["own"], strict=True):
+        codes.append(np.frombuffer(code.as_py(), np.int64))
+        owns.append(np.frombuffer(own.as_py(), np.int64)[np.frombuffer(at.as_py(), np.uint32)])
+    code = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    own = np.concatenate(owns) if owns else np.empty(0, np.int64)
+    order = np.argsort(code, kind="stable")
+    code, own = code[order], own[order]
+    del codes, owns, order
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+    if len(starts):
+        hub = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(code))))
+        apart = own != hub
+        edges = np.unique(np.stack([own[apart], hub[apart]], axis=1), axis=0)
+    else:
+        edges = np.empty((0, 2), np.int64)
+    n = len(edges)
+    links = pa.Table.from_arrays(
+        [pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))],
+        schema=MET,
+    )
+    rows = pa.Table.from_arrays(
+        [texts["set_hash"], pa.nulls(len(texts), pa.int64()), texts["doc_id"], texts["n"], pa.array(np.ones(len(texts), bool))],
+        schema=MET,
+    )
+    return pa.concat_tables([rows, links])
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -281,27 +359,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     """
     spark = docs.sparkSession
     base = documents(docs)
-    sets = written(base.mapInArrow(lambda b: _set_rows(b, words, percent), SETS_DDL), "join-sets")
-    # Equal sets are one class; its parts are those of any member.
-    classes = written(
-        sets.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("parts").alias("parts")),
-        "join-classes",
-    )
-    # The parts go on with the classes alone; each table and shuffle that has served is released.
-    slim = written(sets.select("doc_id", F.col("n").alias("n_shingles"), "set_hash"), "join-rows")
-    released(sets)
-    parts = classes.select("set_hash", F.explode("parts").alias("part"))
-    hubs = written(
-        parts.groupBy("part").agg(F.min("set_hash").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"),
-        "join-hubs",
-    )
-    star = written(
-        parts.join(hubs, "part").where("set_hash != hub").select(F.col("set_hash").alias("a"), F.col("hub").alias("b")).distinct(),
-        "join-star",
-    )
-    members = written(classes.select("set_hash", "doc_id"), "join-names")
-    released(classes, hubs)
-    classes = members
+    tasks = 4 * shuffle_partitions(spark)
+    sets = base.mapInArrow(lambda b: _set_rows(b, words, percent, tasks), SETS_DDL)
+    met = written(sets.groupBy("task").applyInArrow(_met, "a long, b long, doc_id long, n long, text_row boolean"), "join-met")
+    released()
+    slim = met.where("text_row").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
+    star = met.where("not text_row").select("a", "b").distinct()
+    # Equal sets are one class.
+    classes = written(slim.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "join-classes")
     route = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
     routes = written(route, "join-routes")
     candidates = written(classes.join(routes, "set_hash").where("doc_id is not null"), "join-candidates")
@@ -309,13 +374,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     set_schema = pa.schema([("set_hash", pa.int64()), ("route", pa.int64()), ("shingles", pa.binary())])
 
     def again(batches):
+        seen = set()  # repeated rows of a document lie in one partition
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = shingle_sets([t.as_py() or "" for t in part.column(0)], words)
                 rows = []
                 for s, h, r in zip(found, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if len(s) and int(_scrambled(s.sum(keepdims=True) + U(len(s))).view(np.int64)[0]) == h:
+                    if len(s) and h not in seen and int(_set_hash(s)) == h:
+                        seen.add(h)
                         rows.append((h, r, s.tobytes()))
                 cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -325,27 +392,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     held = written(
         base.join(candidates, "doc_id")
         .select("text", "set_hash", "route")
-        .mapInArrow(again, "set_hash long, route long, shingles binary")
-        .dropDuplicates(["set_hash"]),
+        .mapInArrow(again, "set_hash long, route long, shingles binary"),
         "join-held",
     )
-    of = written(held.groupBy("route").agg(F.count(F.lit(1)).alias("members")), "join-members")
+    of = written(held.groupBy("route").agg(_blocks(F.count(F.lit(1)), _size()).alias("blocks")), "join-members")
     released(routes, candidates)
-    block = F.pmod(F.xxhash64("set_hash"), F.ceil(F.col("members") / BLOCK_SETS).cast("long"))
+    block = F.pmod(F.xxhash64("set_hash"), "blocks")
     blocks = held.join(of, "route").select("set_hash", "route", "shingles", block.alias("block"))
-    tasks = 4 * shuffle_partitions(spark)
 
     def inside(table: pa.Table) -> pa.Table:
         groups: dict = {}
         for r, b, entry in zip(table["route"].to_pylist(), table["block"].to_pylist(), _entries(table), strict=True):
-            groups.setdefault((r, b), []).append(entry)
-        return _edges([e for g in groups.values() for e in joined(g, None, {}, percent)])
+            groups.setdefault((r, b), {})[entry[0]] = entry[1]
+        return _edges([e for g in groups.values() for e in joined(list(g.items()), None, {}, percent)])
 
     task = F.pmod(F.xxhash64("route", "block"), F.lit(tasks))
     links = written(
         blocks.withColumn("task", task).groupBy("task").applyInArrow(inside, "a long, b long"), "join-links"
     )
-    several = of.where(F.col("members") > BLOCK_SETS)
+    several = of.where("blocks > 1")
     some = several.limit(1).count()
     released()
     if some:
@@ -367,6 +432,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     )
 
 
+def _size():
+    """The bytes of shingles of a group's sets."""
+    return F.sum(F.octet_length("shingles").cast("long"))
+
+
+def _blocks(sets, size):
+    """The number of blocks for so many sets of so many bytes."""
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(size / BLOCK_SHINGLES)).cast("long")
+
+
 def _labelled(held: DataFrame, several: DataFrame, links: DataFrame) -> DataFrame:
     """The sets of neighbourhoods of several blocks that still have several components, with those."""
     comp = components(links).select(F.col("node").alias("set_hash"), "component")
@@ -378,23 +453,118 @@ def _labelled(held: DataFrame, several: DataFrame, links: DataFrame) -> DataFram
     return written(held.join(still, "set_hash"), "join-open")
 
 
+#: A set's shingles in one size band, by task: their keys, and for each the place of its set in sets (see _keyed).
+KEYED = pa.schema([("task", pa.int64()), ("key", pa.binary()), ("at", pa.binary()), ("sets", pa.binary())])
+KEYED_BLOCK = 1 << 19
+
+
+def _keyed(batches, percent: int, tasks: int):
+    """Shingles under their neighbourhood and size band, by task. sets has rows of (set_hash, band, component, size)."""
+    lim = limits(percent)
+
+    def given(keys: list, sets: list):
+        key = np.concatenate(keys)
+        at = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        of = np.array(sets, np.int64)
+        task = (key % U(tasks)).astype(np.int64)
+        order = np.argsort(task, kind="stable")
+        key, at, task = key[order], at[order], task[order]
+        starts = np.flatnonzero(np.diff(task, prepend=-1))
+        rows = []
+        for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
+            own, place = np.unique(at[lo:hi], return_inverse=True)
+            rows.append((int(task[lo]), key[lo:hi].tobytes(), place.astype(np.uint32).tobytes(), of[own].tobytes()))
+        for k in range(0, len(rows), 1024):
+            cols = zip(*rows[k : k + 1024], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KEYED.types, strict=True)], schema=KEYED)
+
+    keys, sets, held = [], [], 0
+    for batch in batches:
+        cols = [batch.column(k) for k in ("set_hash", "route", "component", "band", "shingles")]
+        for h, route, component, band, data in zip(*cols, strict=True):
+            shingles = np.frombuffer(data.as_py(), np.uint64)
+            for one in lim.bands_of(len(shingles)) if band.as_py() is None else [band.as_py()]:
+                tag = _scrambled(np.array([route.as_py()], np.int64).view(np.uint64) + U(one + 1))
+                keys.append(_scrambled(shingles + tag))
+                sets.append((h.as_py(), one, component.as_py(), len(shingles)))
+                held += len(shingles)
+                if held >= KEYED_BLOCK:
+                    yield from given(keys, sets)
+                    keys, sets, held = [], [], 0
+    if keys:
+        yield from given(keys, sets)
+
+
+MATCHED = pa.schema([("set_hash", pa.int64()), ("band", pa.int64()), ("n", pa.int64()), ("c", pa.int64())])
+
+
+def _matched(table: pa.Table) -> pa.Table:
+    """For each set and band, how many of the task's shingles a set of another component has too."""
+    keys, owners, sets, first = [], [], [], 0
+    for key, at, own in zip(table["key"], table["at"], table["sets"], strict=True):
+        rows = np.frombuffer(own.as_py(), np.int64).reshape(-1, 4)
+        keys.append(np.frombuffer(key.as_py(), np.uint64))
+        owners.append(np.frombuffer(at.as_py(), np.uint32).astype(np.int64) + first)
+        sets.append(rows)
+        first += len(rows)
+    key, owner, of = np.concatenate(keys), np.concatenate(owners), np.concatenate(sets)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    component = of[owner, 2]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+    several = np.repeat(several, np.diff(np.append(starts, len(key))))
+    count = np.bincount(owner[several], minlength=len(of))
+    some = count > 0
+    cols = (of[some, 0], of[some, 1], of[some, 3], count[some])
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=MATCHED)
+
+
+def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The rows of open_, one for each size band, whose set could still link with a set of another component.
+
+    A link needs a common part of percent / 100 of either set at least, so a set of which a smaller part is found in
+    all other components of its neighbourhood and band together has no link. Sets that only share passages go here, at
+    a cost that grows with the shingles and not with the pairs. What goes may leave others uncovered, so it is repeated
+    while it takes many away.
+    """
+    names = ("set_hash", "route", "component", "band", "shingles")
+    now = open_.withColumn("band", F.lit(None).cast("long")).select(*names)
+    count = None
+    while True:
+        keyed = now.mapInArrow(lambda b: _keyed(b, percent, tasks), "task long, key binary, at binary, sets binary")
+        matched = keyed.groupBy("task").applyInArrow(_matched, "set_hash long, band long, n long, c long")
+        stays = matched.groupBy("set_hash", "band").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+        stays = stays.where(F.col("c") * 100 >= F.col("n") * percent).select("set_hash", "band")
+        stays = written(stays, "join-coverable")
+        before, count = count, stays.count()
+        now = written(open_.join(stays, "set_hash").select(*names), "join-covered")
+        released()
+        if not count or (before is not None and count > 0.8 * before):
+            return now
+
+
 def _across_blocks(held, several, star, links, percent: int, tasks: int) -> DataFrame:
     """Links between blocks of one neighbourhood.
 
-    First the pairs that a part hash joins to the part's first set are verified, which takes one row a pair and mostly
-    joins a large group of near copies. Then, in each neighbourhood with several components left, sets outside its
-    largest component are compared with all, block by block, by the trees.
+    Sets that the other components of their neighbourhood can't cover go first. Then the pairs that a part hash joins to
+    the part's first set are verified, which takes one row a pair and mostly joins a large group of near copies. Then,
+    in each neighbourhood and size band with several components left, sets outside its largest component are compared
+    with all, block by block, by the trees.
     """
     lim = limits(percent)
     open_ = _labelled(held, several, links)
-    sized = open_.select("set_hash", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    first = _coverable(open_, percent, tasks)
+    released(open_)
+    alone = first.dropDuplicates(["set_hash"])
+    sized = alone.select("set_hash", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
     one = sized.select(F.col("set_hash").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     two = sized.select(F.col("set_hash").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     apart = star.join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
     apart = written(apart, "join-apart")
-    mine = open_.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
-    theirs = open_.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
+    mine = alone.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
+    theirs = alone.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
 
     def verify(batches):
         for batch in batches:
@@ -407,23 +577,29 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
 
     pairs = apart.join(mine, "a").join(theirs, "b").select("a", "b", "mine", "theirs")
     links = written(links.union(pairs.mapInArrow(verify, "a long, b long")), "join-links")
-    first = open_
-    open_ = _labelled(held, several, links)
+    open_ = _labelled(alone.select("set_hash", "route", "shingles"), several, links)
     released(first)
-    sizes = open_.groupBy("route", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("route").agg(
-        F.sum("c").alias("members"), F.max(F.struct(F.col("c"), F.col("component"))).alias("top")
+    left_open = _coverable(open_, percent, tasks)
+    released(open_)
+    group = ["route", "band"]
+    sizes = left_open.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("c"), _size().alias("size"))
+    largest = sizes.groupBy(*group).agg(
+        F.sum("c").alias("members"), F.sum("size").alias("size"), F.max(F.struct("c", "component", "size")).alias("top")
     )
     largest = written(
-        largest.select("route", "members", F.col("top.component").alias("top"), (F.col("members") - F.col("top.c")).alias("minor")),
+        largest.select(
+            *group,
+            F.col("top.component").alias("top"),
+            _blocks(F.col("members") - F.col("top.c"), F.col("size") - F.col("top.size")).alias("a_blocks"),
+            _blocks(F.col("members"), F.col("size")).alias("b_blocks"),
+        ).where("a_blocks > 0"),
         "join-largest",
     )
-    placed = open_.join(largest, "route")
-    a_blocks = F.ceil(F.col("minor") / BLOCK_SETS).cast("long")
-    b_blocks = F.ceil(F.col("members") / BLOCK_SETS).cast("long")
+    placed = left_open.join(largest, group)
+    a_blocks, b_blocks = F.col("a_blocks"), F.col("b_blocks")
     h = F.xxhash64("set_hash")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    cols = ["set_hash", "route", "shingles", "component"]
+    cols = ["set_hash", *group, "shingles", "component"]
     left = placed.where("component != top").select(
         *cols, F.pmod(h, a_blocks).alias("i"), every(b_blocks).alias("j"), F.lit(True).alias("left")
     )
@@ -432,12 +608,14 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
     def across(table: pa.Table) -> pa.Table:
         groups: dict = {}
         same = dict(zip(table["set_hash"].to_pylist(), table["component"].to_pylist(), strict=True))
-        where = zip(*(table[c].to_pylist() for c in ("route", "i", "j", "left")), strict=True)
-        for (r, i, j, side), entry in zip(where, _entries(table), strict=True):
-            groups.setdefault((r, i, j), ([], []))[0 if side else 1].append(entry)
-        return _edges([e for a, b in groups.values() if a and b for e in joined(a, b, same, percent)])
+        where = zip(*(table[c].to_pylist() for c in (*group, "i", "j", "left")), strict=True)
+        for (r, band, i, j, side), entry in zip(where, _entries(table), strict=True):
+            groups.setdefault((r, band, i, j), ({}, {}))[0 if side else 1][entry[0]] = entry[1]
+        return _edges(
+            [e for a, b in groups.values() if a and b for e in joined(list(a.items()), list(b.items()), same, percent)]
+        )
 
-    task = F.pmod(F.xxhash64("route", "i", "j"), F.lit(tasks))
+    task = F.pmod(F.xxhash64(*group, "i", "j"), F.lit(tasks))
     found = left.union(right).withColumn("task", task).groupBy("task").applyInArrow(across, "a long, b long")
     return written(links.union(found), "join-links")
 
