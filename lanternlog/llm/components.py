@@ -1,45 +1,74 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table: union-find within partitions, then a shuffle, until each node has one parent."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
+STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) that aren't the smallest of their component, and that smallest node of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        p, q = p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    below = label != np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
+def _starred(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars; open: a node of it came with several parents, which others have yet to hear of."""
+    parts = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if x.num_rows]
+    if not parts:
+        return
+    given = np.unique(np.stack([np.concatenate(c) for c in zip(*parts, strict=True)], axis=1), axis=0)
+    several = bool((given[1:, 0] == given[:-1, 0]).any())
+    a, b = stars(given[:, 0], given[:, 1])
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), several))], schema=STARS)
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of every node that has an edge (a, b) to another.
 
-    Each round links every node's larger neighbours, then all its neighbours that are not larger, to the smallest of
-    them and itself, until nothing changes; the rounds needed grow with the logarithm of the longest path. Only edge
-    rows are held, never neighbour lists, so a node with very many edges needs no more memory than another.
+    Edges go to the partition of their larger end, which joins all it has and gives each node its smallest. Where a node
+    had several parents there, these are joined in the next round; a round without any leaves a forest, whose paths are
+    then halved until they end. A node comes to its partition at most once for each partition of the round before, so
+    one with very many neighbours, which is the smaller end of most of them, needs no more memory there than another.
     """
-    both = edges.select("a", "b").where("a != b")
-    now = written(
-        both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges"
-    )
-    # Edge sets are compared by their number and a sum of hashes, so that a round is one write and one aggregate.
-    mark = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a")))
-    before = now.agg(*mark).first()
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(most_rounds):
-        if not before[0]:
+        after = written(now.repartition("a").mapInArrow(_starred, "a long, b long, open boolean"), "component-edges")
+        now = after.select("a", "b")
+        if not after.agg(F.max("open")).first()[0]:
             break
-        near = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        # A node that is the smallest of its neighbours keeps no edge by itself; its neighbours point to it.
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least2, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            joined.select(F.col("a"), F.col("m").alias("b"))
-        )
-        after = written(small.where("a != b").distinct(), "component-edges")
-        found = after.agg(*mark).first()
-        now = after
-        if found == before:
+    else:
+        raise RuntimeError("components did not settle")
+    for _ in range(most_rounds):
+        up = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        open_ = F.col("c").isNotNull().alias("open")
+        after = written(now.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), open_), "component-paths")
+        now = after.select("a", "b")
+        if not after.agg(F.max("open")).first()[0]:
             break
-        before = found
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, stars
 from .shared import doc_batches, documents, read_table, released, shuffle_partitions, written
 
 BLOCK_BYTES = 4 << 20
@@ -337,8 +337,9 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _edges(rows: list) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[], []]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=LINKS)
+    """Links as stars around the smallest hash that they connect."""
+    links = np.array(rows, np.int64).reshape(-1, 2)
+    return pa.Table.from_arrays([pa.array(c) for c in stars(links[:, 0], links[:, 1])], schema=LINKS)
 
 
 def _entries(table: pa.Table) -> list[tuple]:
@@ -530,7 +531,7 @@ def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
     """
     names = ("set_hash", "route", "component", "band", "shingles")
     now = open_.withColumn("band", F.lit(None).cast("long")).select(*names)
-    count = None
+    count = now.count()
     while True:
         keyed = now.mapInArrow(lambda b: _keyed(b, percent, tasks), "task long, key binary, at binary, sets binary")
         matched = keyed.groupBy("task").applyInArrow(_matched, "set_hash long, band long, n long, c long")
@@ -540,7 +541,7 @@ def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
         before, count = count, stays.count()
         now = written(open_.join(stays, "set_hash").select(*names), "join-covered")
         released()
-        if not count or (before is not None and count > 0.8 * before):
+        if not count or count > 0.8 * before:
             return now
 
 
