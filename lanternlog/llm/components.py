@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import lanes, written
 
+#: Edges that a lane holds at once, about.
+LANE_EDGES = 1 << 19
 STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])
 
 
@@ -35,30 +35,32 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], nodes[label[below]]
 
 
-def _starred(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's edges as stars; open: a node of it came with several parents, which others have yet to hear of."""
-    parts = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if x.num_rows]
-    if not parts:
-        return
-    given = np.unique(np.stack([np.concatenate(c) for c in zip(*parts, strict=True)], axis=1), axis=0)
+def _starred(table: pa.Table) -> pa.Table:
+    """A lane's edges as stars; open: a node of it came with several parents, which others have yet to hear of."""
+    given = np.unique(np.stack([table["a"].to_numpy(), table["b"].to_numpy()], axis=1), axis=0)
     several = bool((given[1:, 0] == given[:-1, 0]).any())
     a, b = stars(given[:, 0], given[:, 1])
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), several))], schema=STARS)
+    return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), several))], schema=STARS)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of every node that has an edge (a, b) to another.
 
-    Edges go to the partition of their larger end, which joins all it has and gives each node its smallest. Where a node
+    Edges go to the lane of their larger end, which joins all it has and gives each node its smallest. Where a node
     had several parents there, these are joined in the next round; a round without any leaves a forest, whose paths are
-    then halved until they end. A node comes to its partition at most once for each partition of the round before, so
-    one with very many neighbours, which is the smaller end of most of them, needs no more memory there than another.
+    then halved until they end. A node comes to its lane at most once for each lane of the round before, so one with
+    very many neighbours, which is the smaller end of most of them, needs no more memory there than another. The number
+    of lanes follows the number of edges. `edges` is read twice, so it should be a written table.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    count = now.count()
     for _ in range(most_rounds):
-        after = written(now.repartition("a").mapInArrow(_starred, "a long, b long, open boolean"), "component-edges")
+        lane = F.pmod(F.xxhash64("a"), F.lit(lanes(count, LANE_EDGES)))
+        starred = now.groupBy(lane.alias("lane")).applyInArrow(_starred, "a long, b long, open boolean")
+        after = written(starred, "component-edges")
         now = after.select("a", "b")
-        if not after.agg(F.max("open")).first()[0]:
+        open_, count = after.agg(F.max("open"), F.count(F.lit(1))).first()
+        if not open_:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, stars
-from .shared import doc_batches, documents, read_table, released, shuffle_partitions, written
+from .shared import doc_batches, documents, lanes, read_table, released, shuffle_partitions, written
 
 BLOCK_BYTES = 4 << 20
 #: Sets in one block of a neighbourhood, and the bytes of their shingles; the larger number of blocks holds.
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 4 << 20
+#: The bytes of shingles that a task of several groups holds, about.
+TASK_SHINGLES = 8 << 20
 FANOUT = 16
 BITS = 1024
 #: Sizes of a band reach from its start to this many times it.
@@ -365,7 +367,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     met = written(sets.groupBy("task").applyInArrow(_met, "a long, b long, doc_id long, n long, text_row boolean"), "join-met")
     released()
     slim = met.where("text_row").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
-    star = met.where("not text_row").select("a", "b").distinct()
+    star = met.where("not text_row").select("a", "b")
     # Equal sets are one class.
     classes = written(slim.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "join-classes")
     route = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
@@ -407,7 +409,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
             groups.setdefault((r, b), {})[entry[0]] = entry[1]
         return _edges([e for g in groups.values() for e in joined(list(g.items()), None, {}, percent)])
 
-    task = F.pmod(F.xxhash64("route", "block"), F.lit(tasks))
+    held_bytes = held.agg(_size()).first()[0] or 0
+    task = F.pmod(F.xxhash64("route", "block"), F.lit(lanes(held_bytes, TASK_SHINGLES)))
     links = written(
         blocks.withColumn("task", task).groupBy("task").applyInArrow(inside, "a long, b long"), "join-links"
     )
@@ -415,7 +418,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     some = several.limit(1).count()
     released()
     if some:
-        links = _across_blocks(held, several, star, links, percent, tasks)
+        links = _across_blocks(held, several, star, links, percent)
     comp = written(components(links), "join-components")
     named = classes.select("set_hash", "doc_id").join(
         comp.select(F.col("node").alias("set_hash"), "component"), "set_hash", "left"
@@ -521,7 +524,7 @@ def _matched(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=MATCHED)
 
 
-def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
+def _coverable(open_: DataFrame, percent: int) -> DataFrame:
     """The rows of open_, one for each size band, whose set could still link with a set of another component.
 
     A link needs a common part of percent / 100 of either set at least, so a set of which a smaller part is found in
@@ -531,7 +534,9 @@ def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
     """
     names = ("set_hash", "route", "component", "band", "shingles")
     now = open_.withColumn("band", F.lit(None).cast("long")).select(*names)
-    count = now.count()
+    count, size = now.agg(F.count(F.lit(1)), _size()).first()
+    # A set lies in one or two bands.
+    tasks = lanes(size or 0, TASK_SHINGLES // 2)
     while True:
         keyed = now.mapInArrow(lambda b: _keyed(b, percent, tasks), "task long, key binary, at binary, sets binary")
         matched = keyed.groupBy("task").applyInArrow(_matched, "set_hash long, band long, n long, c long")
@@ -545,7 +550,7 @@ def _coverable(open_: DataFrame, percent: int, tasks: int) -> DataFrame:
             return now
 
 
-def _across_blocks(held, several, star, links, percent: int, tasks: int) -> DataFrame:
+def _across_blocks(held, several, star, links, percent: int) -> DataFrame:
     """Links between blocks of one neighbourhood.
 
     Sets that the other components of their neighbourhood can't cover go first. Then the pairs that a part hash joins to
@@ -555,14 +560,14 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
     """
     lim = limits(percent)
     open_ = _labelled(held, several, links)
-    first = _coverable(open_, percent, tasks)
+    first = _coverable(open_, percent)
     released(open_)
     alone = first.dropDuplicates(["set_hash"])
     sized = alone.select("set_hash", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
     one = sized.select(F.col("set_hash").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     two = sized.select(F.col("set_hash").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = star.join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
+    apart = star.distinct().join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
     apart = written(apart, "join-apart")
     mine = alone.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
     theirs = alone.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
@@ -580,7 +585,7 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
     links = written(links.union(pairs.mapInArrow(verify, "a long, b long")), "join-links")
     open_ = _labelled(alone.select("set_hash", "route", "shingles"), several, links)
     released(first)
-    left_open = _coverable(open_, percent, tasks)
+    left_open = _coverable(open_, percent)
     released(open_)
     group = ["route", "band"]
     sizes = left_open.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("c"), _size().alias("size"))
@@ -616,7 +621,8 @@ def _across_blocks(held, several, star, links, percent: int, tasks: int) -> Data
             [e for a, b in groups.values() if a and b for e in joined(list(a.items()), list(b.items()), same, percent)]
         )
 
-    task = F.pmod(F.xxhash64(*group, "i", "j"), F.lit(tasks))
+    pairs_of_blocks = largest.agg(F.sum(a_blocks * b_blocks)).first()[0] or 0
+    task = F.pmod(F.xxhash64(*group, "i", "j"), F.lit(lanes(pairs_of_blocks, 2)))
     found = left.union(right).withColumn("task", task).groupBy("task").applyInArrow(across, "a long, b long")
     return written(links.union(found), "join-links")
 

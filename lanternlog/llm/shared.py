@@ -65,6 +65,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lanes(amount: int, each: int) -> int:
+    """How many groups to deal `amount` into by a hash, so that one holds about `each` however large the input is."""
+    return max(24, -(-amount // each))
+
+
 def id_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
