@@ -392,8 +392,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                     [pa.array(c, t) for c, t in zip(cols, set_schema.types, strict=True)], schema=set_schema
                 )
 
+    # Candidates grow with the documents, so they are dealt by doc_id at every size; texts need no sorting.
     held = written(
-        base.join(candidates, "doc_id")
+        base.join(candidates.hint("shuffle_hash"), "doc_id")
         .select("text", "set_hash", "route")
         .mapInArrow(again, "set_hash long, route long, shingles binary"),
         "join-held",
