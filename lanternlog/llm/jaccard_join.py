@@ -95,6 +95,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     for text in texts:
         found = text.encode().lower().split()
         rows.append(np.fromiter(map(place.__getitem__, found), np.int64, len(found)))
+    place.default_factory = None  # it refers to place itself, which would wait for the cyclic collector
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
     out = []
     for row in rows:
