@@ -2,16 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last give the columns of documents. Null and empty texts, repeated rows, empty tables and
-further columns are handled as the operators say; rows of one doc_id count as one document in the second stage.
+further columns are handled as the operators say; rows of one doc_id and text count as one document in the second
+stage, with a null doc_id as with any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternlog.llm import language_id, packing
-from lanternlog.llm.jaccard_join import near_duplicates
+from lanternlog.llm.jaccard_join import near_duplicates, text_hash
 from lanternlog.llm.shared import read_table, tokenizer_path, written
 from lanternlog.llm.suffix_dedup import without_repeats
 
@@ -28,11 +29,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id, once."""
-    found = near_duplicates(docs, words=5, percent=80)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, the one of the smallest doc_id (null last), once.
+
+    A document is a doc_id and a text, so texts of null or repeated ids go only if a near duplicate stays. Texts
+    without a word are in no group; they stay. Texts and groups are told apart by 64-bit hashes.
+    """
+    key = ["_near_no_id", "_near_id", "_near_text"]
+
+    def keyed(df: DataFrame, text_hash: Column) -> DataFrame:
+        doc_id = F.col("doc_id").cast("long")
+        keys = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text_hash)
+        return df.select("*", *(c.alias(k) for c, k in zip(keys, key, strict=True)))
+
+    found = keyed(near_duplicates(docs, words=5, percent=80), F.col("text_hash"))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    stays = first.union(found.where("root is null").select(*key)).distinct()
+    once = keyed(docs, text_hash(F.col("text"))).dropDuplicates(key)
+    return once.join(stays, key, "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

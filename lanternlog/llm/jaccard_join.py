@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, stars
@@ -33,10 +33,10 @@ BITS = 1024
 #: Sizes of a band reach from its start to this many times it.
 BAND = 1.5
 SETS = pa.schema(
-    [("task", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64())]
+    [("task", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64())]
     + [("part", pa.binary()), ("at", pa.binary()), ("own", pa.binary())]
 )
-SETS_DDL = "task long, doc_id long, n long, set_hash long, part binary, at binary, own binary"
+SETS_DDL = "task long, doc_id long, text_hash long, n long, set_hash long, part binary, at binary, own binary"
 U = np.uint64
 
 
@@ -111,6 +111,18 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """A text's 64-bit hash, which with the doc_id tells rows apart; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _text_hashes(texts: list[str]) -> np.ndarray:
+    """The same hashes as text_hash gives: Spark's seed is 42."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def _set_hash(shingles: np.ndarray) -> np.int64:
     return _scrambled(shingles.sum(keepdims=True) + U(len(shingles))).view(np.int64)[0]
 
@@ -262,6 +274,7 @@ def _set_rows(batches, words: int, percent: int, tasks: int):
             [
                 pa.array(turns, pa.int64()),
                 pa.array(ids, pa.int64()),
+                pa.array(_text_hashes(texts)),
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array(hashes, pa.int64()),
                 none,
@@ -290,12 +303,15 @@ def _set_rows(batches, words: int, percent: int, tasks: int):
             cols = list(zip(*rows[k : k + 1024], strict=True))
             empty = pa.nulls(len(cols[0]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), empty, empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])],
+                [pa.array(cols[0], pa.int64()), empty, empty, empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])],
                 schema=SETS,
             )
 
 
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("text_row", pa.bool_())])
+MET = pa.schema(
+    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("text_row", pa.bool_())]
+)
+MET_DDL = "a long, b long, doc_id long, text_hash long, n long, text_row boolean"
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -326,11 +342,16 @@ def _met(table: pa.Table) -> pa.Table:
         edges = np.empty((0, 2), np.int64)
     n = len(edges)
     links = pa.Table.from_arrays(
-        [pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))],
+        [pa.array(edges[:, 0]), pa.array(edges[:, 1]), *[pa.nulls(n, pa.int64())] * 3, pa.array(np.zeros(n, bool))],
         schema=MET,
     )
     rows = pa.Table.from_arrays(
-        [texts["set_hash"], pa.nulls(len(texts), pa.int64()), texts["doc_id"], texts["n"], pa.array(np.ones(len(texts), bool))],
+        [
+            texts["set_hash"],
+            pa.nulls(len(texts), pa.int64()),
+            *(texts[c] for c in ("doc_id", "text_hash", "n")),
+            pa.array(np.ones(len(texts), bool)),
+        ],
         schema=MET,
     )
     return pa.concat_tables([rows, links])
@@ -353,9 +374,10 @@ def _entries(table: pa.Table) -> list[tuple]:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, set_hash, component_id of every row; a link is 100 * intersection >= percent * union.
+    """doc_id, text_hash, n_shingles, set_hash, root, component_id of every row; a link is 100 * intersection >= percent * union.
 
-    component_id is the smallest doc_id reachable by links, its own included; equal non-empty sets are linked. Null,
+    root is the component's smallest set_hash. It tells components apart; component_id does not where ids are null or
+    repeated. component_id is the smallest doc_id reachable by links, its own included; equal non-empty sets are linked. Null,
     empty and wordless texts have an empty set (set_hash null) and link with nothing: their component_id is their
     doc_id. Repeated rows: a row each, in one component. Rows without a doc_id never name a component, and a set that
     only such rows have is compared with equal sets alone. Empty table: no rows.
@@ -365,9 +387,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     base = documents(docs)
     tasks = 4 * shuffle_partitions(spark)
     sets = base.mapInArrow(lambda b: _set_rows(b, words, percent, tasks), SETS_DDL)
-    met = written(sets.groupBy("task").applyInArrow(_met, "a long, b long, doc_id long, n long, text_row boolean"), "join-met")
+    met = written(sets.groupBy("task").applyInArrow(_met, MET_DDL), "join-met")
     released()
-    slim = met.where("text_row").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
+    slim = met.where("text_row").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
     star = met.where("not text_row").select("a", "b")
     # Equal sets are one class.
     classes = written(slim.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "join-classes")
@@ -428,12 +450,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     root = F.coalesce("component", "set_hash")
     least = written(named.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id")), "join-names")
     names = written(
-        named.select("set_hash", root.alias("root")).join(least, "root").select("set_hash", "component_id"), "join-named"
+        named.select("set_hash", root.alias("root")).join(least, "root").select("set_hash", "root", "component_id"), "join-named"
     )
     return (
         slim.join(names, "set_hash", "left")
         .select(
-            "doc_id", "n_shingles", "set_hash", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+            "doc_id",
+            "text_hash",
+            "n_shingles",
+            "set_hash",
+            "root",
+            F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
     )
 

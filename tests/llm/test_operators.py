@@ -366,3 +366,18 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert single.where("doc_id = 3").count() == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    """One row of each near-duplicate group stays, whatever ids its rows have."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d, e, f = (text_of(rng, 60) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, d), (2, e), (2, e), (3, e + " x"), (4, f), (4, d + " x")]
+    rows += [(5, ""), (6, None), (None, " "), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, 2, "z") for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    wanted = [(1, a), (None, b), (None, c), (2, d), (2, e), (4, f), (5, ""), (6, None), (None, " ")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, wanted))
