@@ -379,8 +379,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     root is the component's smallest set_hash. It tells components apart; component_id does not where ids are null or
     repeated. component_id is the smallest doc_id reachable by links, its own included; equal non-empty sets are linked. Null,
     empty and wordless texts have an empty set (set_hash null) and link with nothing: their component_id is their
-    doc_id. Repeated rows: a row each, in one component. Rows without a doc_id never name a component, and a set that
-    only such rows have is compared with equal sets alone. Empty table: no rows.
+    doc_id. Repeated rows: a row each, in one component. Rows without a doc_id are compared as all others, but never name
+    a component. Empty table: no rows.
     Shingles and sets are told apart by 64-bit hashes. Whole texts count; there is no cap on partners or candidates.
     """
     spark = docs.sparkSession
@@ -391,11 +391,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     released()
     slim = met.where("text_row").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
     star = met.where("not text_row").select("a", "b")
-    # Equal sets are one class.
-    classes = written(slim.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "join-classes")
+    # Equal sets are one class. Its text comes from its first row, one with a doc_id if there is any.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    classes = slim.where("n_shingles > 0").groupBy("set_hash").agg(first)
+    classes = written(classes.select("set_hash", "first.doc_id", "first.text_hash"), "join-classes")
     route = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
     routes = written(route, "join-routes")
-    candidates = written(classes.join(routes, "set_hash").where("doc_id is not null"), "join-candidates")
+    chosen = (F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
+    candidates = written(classes.join(routes, "set_hash").select("set_hash", "route", *chosen), "join-candidates")
 
     set_schema = pa.schema([("set_hash", pa.int64()), ("route", pa.int64()), ("shingles", pa.binary())])
 
@@ -415,9 +418,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                     [pa.array(c, t) for c, t in zip(cols, set_schema.types, strict=True)], schema=set_schema
                 )
 
-    # Candidates grow with the documents, so they are dealt by doc_id at every size; texts need no sorting.
+    # Candidates grow with the documents, so they are dealt by row key at every size; texts need no sorting.
+    # Copies without a doc_id have one key, so only one of them goes there.
+    numbered, others = base.where("doc_id is not null"), base.where("doc_id is null").distinct()
+    texts = numbered.union(others).withColumn("text_hash", text_hash(F.col("text")))
+    same_row = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
     held = written(
-        base.join(candidates.hint("shuffle_hash"), "doc_id")
+        texts.join(candidates.hint("shuffle_hash"), same_row)
         .select("text", "set_hash", "route")
         .mapInArrow(again, "set_hash long, route long, shingles binary"),
         "join-held",

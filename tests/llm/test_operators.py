@@ -121,6 +121,20 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch, words, percent, blo
         assert jaccard_join.near_duplicates(empty, words, percent).count() == 0
 
 
+@pytest.mark.parametrize("words,percent,block", [(3, 90, 1024), (5, 80, 2)])
+def test_jaccard_join_compares_texts_without_id(spark, monkeypatch, words, percent, block):
+    """Components that hang together through texts that only rows without a doc_id have, and repeated ids."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rng = random.Random(5)
+    a, b, c = (text_of(rng, 150).split() for _ in range(3))
+    chain = lambda w, k: " ".join(w[k:] + [f"z{i}" for i in range(k)])
+    rows = [(1, chain(a, 0)), (None, chain(a, 6)), (9, chain(a, 12)), (None, chain(a, 6)), (None, chain(a, 18)), (3, chain(b, 0))]
+    rows += [(None, chain(b, 5)), (None, chain(b, 5).upper()), (None, chain(c, 0)), (None, chain(c, 4)), (3, chain(c, 8)), (None, ""), (None, None)]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows, words, percent)))
+
+
 def test_signature_tree_loses_no_link():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
