@@ -99,9 +99,9 @@ def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str) -> DataFra
     rows = fed.where(F.col("rule_index").isin(refs))
     for k in keys:
         rows = rows.where(k.isNotNull())
-    value = Field(field_path(c.field)).text if c.kind == "value_count" else F.lit(None).cast("string")
-    if c.kind == "value_count":
-        rows = rows.where(value.isNotNull())
+    values = [Field(field_path(n)).text for n in c.fields] if c.kind == "value_count" else []
+    for v in values:
+        rows = rows.where(v.isNotNull())
     return rows.select(
         F.lit(index).alias("correlation_index"),
         scopes[scope].alias("scope"),
@@ -112,7 +112,7 @@ def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str) -> DataFra
         "time_us",
         "watermark",
         position.alias("position"),
-        value.alias("value"),
+        F.array(*values).cast("array<string>").alias("value"),
     )
 
 
@@ -159,7 +159,7 @@ def _folded(pdf: pd.DataFrame, plans: dict, max_state: int) -> Iterator[tuple]:
                 if not f.entries:
                     del state[k]
         f = state.setdefault(key, Fold(*plans[r.correlation_index]))
-        if f.observe(r.time_us, (r.file_seq << 40) + r.rec_seq, r.position, r.value, r.watermark):
+        if f.observe(r.time_us, (r.file_seq << 40) + r.rec_seq, r.position, tuple(r.value), r.watermark):
             first, last = f.entries[0][0], f.entries[-1][0]
             seqs = [e[1] & ((1 << 40) - 1) for e in f.entries]
             yield r.correlation_index, r.scope, list(r.groups), r.time_us, first, last, seqs

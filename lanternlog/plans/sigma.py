@@ -184,7 +184,7 @@ class Correlation:
     timespan_us: int
     op: str | None = None
     count: int = 0
-    field: str | None = None
+    fields: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -417,7 +417,7 @@ def parse_correlation(raw: dict) -> Correlation:
     span = raw.get("timespan", raw.get("timeframe"))
     if span is None:
         raise RuleError("correlation without timespan")
-    op, count, target = None, 0, None
+    op, count, fields = None, 0, ()
     given = raw.get("condition")
     if isinstance(given, str):
         parts = given.split()
@@ -428,13 +428,13 @@ def parse_correlation(raw: dict) -> Correlation:
         ops = [k for k in given if k != "field"]
         if len(ops) != 1 or ops[0] not in COUNT_OPS or not isinstance(given[ops[0]], int) or given[ops[0]] < 0:
             raise RuleError("a correlation condition has one operator and a count")
-        op, count, target = ops[0], given[ops[0]], given.get("field")
+        op, count, fields = ops[0], given[ops[0]], _strings(given.get("field"))
     if kind.endswith("_count") and op is None:
         raise RuleError(f"{kind} needs a condition")
-    if kind == "value_count" and not target:
+    if kind == "value_count" and not all(fields or ("",)):
         raise RuleError("value_count needs a field")
     groups = _strings(raw.get("group-by", raw.get("group_by")))
-    return Correlation(kind, rules, groups, parse_timespan(span), op, count, target)
+    return Correlation(kind, rules, groups, parse_timespan(span), op, count, fields)
 
 
 def parse_rule(raw, path: str = "") -> Rule:
