@@ -395,3 +395,19 @@ def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
     assert kept.columns == docs.columns
     wanted = [(1, a), (None, b), (None, c), (2, d), (2, e), (4, f), (5, ""), (6, None), (None, " ")]
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, wanted))
+
+
+def as_rows(df):
+    return collections.Counter(map(repr, map(tuple, df.collect())))
+
+
+def has_letter(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def test_language_stage_rejects_letterless_texts_only(spark, docs, rows):
+    import corpus_pipeline
+
+    odd = [(900, "xq zzqx wvk", "en", "s", 1, 0.5, 2, "z"), (901, "日本語", None, "s", 1, 0.5, 2, "z"), (902, "1 + 1 = 2", "en", "s", 1, 0.5, 2, "z")]
+    found = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(odd, SCHEMA)), "")
+    assert as_rows(found) == collections.Counter(repr(r) for r in [*rows, *odd] if has_letter(r[1]))
