@@ -411,3 +411,191 @@ def test_language_stage_rejects_letterless_texts_only(spark, docs, rows):
     odd = [(900, "xq zzqx wvk", "en", "s", 1, 0.5, 2, "z"), (901, "日本語", None, "s", 1, 0.5, 2, "z"), (902, "1 + 1 = 2", "en", "s", 1, 0.5, 2, "z")]
     found = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(odd, SCHEMA)), "")
     assert as_rows(found) == collections.Counter(repr(r) for r in [*rows, *odd] if has_letter(r[1]))
+
+
+def brute_language(rows):
+    """(doc_id, lang, score) of each row: profiles of the rows that are not held out, by strings and Counters."""
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line = " " + " ".join(words) + " "
+        found = collections.Counter()
+        for n in (1, 2, 3) if words else ():
+            found.update(g for i in range(len(line) - n + 1) if (g := line[i : i + n]) != " ")
+        return found
+
+    def ranked(found):
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return sorted(found, key=lambda g: (-found[g], code(g)))[:300]
+
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r[1] is not None and r[2] is not None and scoring.remainder(r[0], 4) != 2:
+            counts[r[2]].update(grams(r[1]))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in sorted(counts.items()) if c}
+    out = []
+    for r in rows:
+        top = ranked(grams(r[1]))
+        if not top:
+            out.append((r[0], "und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(away, key=away.get)
+        out.append((r[0], best, 1.0 - away[best] / (300 * len(top))))
+    return out
+
+
+def test_language_predictions_against_brute_force(docs, rows):
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.predict_languages(docs, language_id.fit(docs)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_language(rows)))
+
+
+def brute_groups(rows, words, percent):
+    """Lists of rows: those of each near-duplicate group; and the rows without a word."""
+    groups, wordless = [], []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        n = min(words, len(w))
+        mine = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else None
+        if mine is None:
+            wordless.append(r)
+            continue
+        near = [g for g in groups if any(100 * len(mine & s) >= percent * len(mine | s) for _, s in g)]
+        groups = [g for g in groups if not any(g is x for x in near)] + [sum(near, []) + [(r, mine)]]
+    return [[r for r, _ in g] for g in groups], wordless
+
+
+@pytest.fixture(scope="module")
+def mixed(rows):
+    """The rows with several null and repeated ids, near copies at 5 words and 80 %, and chains through null ids."""
+    rng = random.Random(17)
+    tail = ("fr", "s", 1, 0.5, 2, "z")
+    texts = [text_of(rng, 120).split() for _ in range(5)]
+    more = []
+    for k, w in enumerate(texts):
+        for j, doc_id in enumerate([None, 200 + k, None, 200, None]):
+            more.append((doc_id, " ".join(w[4 * j :] + [f"q{j}"] * (j + 1)), *tail))
+    more += [more[0], more[1], (None, text_of(rng, 50), *tail), (200, text_of(rng, 50), *tail), (None, None, *tail), (200, "", *tail)]
+    return rows + more
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_duplicate_stage_against_brute_force(spark, mixed, monkeypatch, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(mixed, SCHEMA), "").collect()]
+    groups, wordless = brute_groups(mixed, 5, 80)
+    assert any(len(g) > 2 for g in groups) and any(all(r[0] is None for r in g) for g in groups)
+    left = collections.Counter(map(repr, kept))
+    for g in groups:
+        least = min((r[0] is None, r[0] or 0) for r in g)
+        found = [r for r in kept if r in g]
+        assert len(found) == 1 and (found[0][0] is None, found[0][0] or 0) == least
+        left.subtract([repr(found[0])])
+    # A wordless text stays, once for each doc_id.
+    once = {(r[0], r[1] or "") for r in wordless}
+    left = +left
+    assert sum(left.values()) == len(once)
+    assert {(r[0], r[1] or "") for r in kept if repr(r) in left} == once
+
+
+def test_passage_stage_against_brute_force(spark, mixed):
+    import corpus_pipeline
+
+    count = collections.Counter(t[i : i + 200] for r in mixed for t in [(r[1] or "").encode()] for i in range(len(t) - 199))
+    wanted = collections.Counter()
+    for r in mixed:
+        data = (r[1] or "").encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 199):
+            if count[data[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        # A run of bytes that cuts a character leaves it whole.
+        at, text = 0, ""
+        for c in r[1] or "":
+            n = len(c.encode())
+            text += "" if gone[at : at + n].all() else c
+            at += n
+        if text:
+            wanted[repr((r[0], text, r[2], r[3], len(text), *r[5:]))] += 1
+    assert as_rows(corpus_pipeline.cut_repeated_passages(spark, spark.createDataFrame(mixed, SCHEMA), "")) == wanted
+
+
+def test_packing_stage_against_brute_force(spark, mixed):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path(packing.VOCABULARY))
+    got = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(mixed, SCHEMA), "").collect()
+    wanted = []
+    for r in mixed:
+        ids, start = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2], 0
+        for k, n in enumerate(packing.cut(len(ids))):
+            wanted.append((r[0], k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())))
+            start += n
+    assert sorted(map(repr, ((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got))) == sorted(map(repr, wanted))
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0] + [n for _, n in parts])[:-1].tolist() and sum(n for _, n in parts) <= 1024
+
+
+def brute_scores(rows):
+    """(doc_id, score) of each row, by Counters and sums over single events."""
+
+    def counted(chosen):
+        word, pair = collections.Counter(), collections.Counter()
+        for r in chosen:
+            seen = [b"", *(r[1] or "").encode().lower().split(), b""]
+            word.update(seen[1:])
+            pair.update(zip(seen, seen[1:]))
+        return word, pair
+
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 7 != 2]
+    aside = [r for r in learned if zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 112 // 7 == 0]
+    assert aside
+    word, pair = counted([r for r in learned if not any(r is x for x in aside)])
+    distinct = len(counted(learned)[0])
+    events = []
+    for r in aside:
+        seen = [b"", *(r[1] or "").encode().lower().split(), b""]
+        for v, w in zip(seen, seen[1:]):
+            ratios = [pair[v, w] / max(1, word[v]) * (distinct + 1), word[w] / word.total() * (distinct + 1)]
+            events.append((word[v].bit_length(), [2 ** (round(8 * np.log2(x)) / 8) if x else 0.0 for x in ratios] + [1.0]))
+
+    def learn(some, w):
+        e = np.array([x for _, x in some])
+        for _ in range(40):
+            share = e * np.maximum(w, 1e-9)
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        return w
+
+    last = learn(events, np.full(3, 1 / 3))
+    weights = []
+    for b in range(32):
+        some = [x for x in events if x[0] == b]
+        if some:
+            last = np.maximum(learn(some, last), 1e-6)
+            last = last / last.sum()
+        weights.append(last)
+    word, pair = counted(learned)
+    out = []
+    for r in rows:
+        seen, total = [b"", *(r[1] or "").encode().lower().split(), b""], 0.0
+        for v, w in zip(seen, seen[1:]):
+            a, b, c = weights[word[v].bit_length()]
+            first, rest = (a * pair[v, w] / word[v], b) if word[v] else (0.0, a + b)
+            total += np.log10(first + rest * word[w] / word.total() + c / (distinct + 1))
+        out.append((r[0], total))
+    return out
+
+
+def test_scores_against_brute_force(spark, mixed):
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    found = scoring.score_documents(spark.createDataFrame(mixed, SCHEMA)).collect()
+    got, wanted = sorted(((r.doc_id, r.score) for r in found), key=order), sorted(brute_scores(mixed), key=order)
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert np.allclose([g[1] for g in got], [w[1] for w in wanted], rtol=1e-6, atol=0)
