@@ -61,6 +61,14 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """These names, with as many underscores before them as no column of df has (upper and lower case are one)."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return tuple(names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,6 +78,11 @@ def lanes(amount: int, each: int) -> int:
     return max(24, -(-amount // each))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts, from a scan of their lengths, to deal them into as many groups as there is data."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+
+
 def id_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
