@@ -3,7 +3,8 @@
 Suffixes meet in one place by anchors: the smallest hash of the K-byte strings in a window of `length` bytes depends on
 the window alone, so equal windows have equal anchors at equal offsets. The windows of one anchor are neighbours; they
 make up a segment. Only segments whose anchor string occurs again are looked at further, and only those that are not
-copies of each other as a whole have their suffixes sorted.
+copies of each other as a whole have their suffixes sorted. Suffixes of a very frequent anchor are parted first by the
+bytes on either side of it, further and further, as a radix sort would do, until a group is small enough for one task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read_table, released, shuffle_partitions, written
+from .shared import free_names, lanes, read_table, released, written
 
 LENGTH = 200
 #: Bytes of an anchor string.
@@ -24,9 +25,10 @@ K = 32
 ROUND = 1 << 19
 #: Bytes up to which suffixes are sorted by multikey quicksort, eight bytes a key; beyond, blind tries order the rest.
 SHALLOW = 32
-#: Different segments of one anchor that are sorted in one task. An anchor with more has its windows dealt out by
-#: their whole content instead, so that no anchor gathers in one task.
+#: Different segments that are sorted together; an anchor with more is split by the bytes beside it (see `split`).
 GROUP_SEGMENTS = 2000
+#: Bytes of segments that a sorting task holds, about.
+TASK_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -144,7 +146,7 @@ def equal_suffixes(
         one, other, at = number[rest], leaf[rest], known[rest]
         trie = group[rest]
         common = np.full(len(one), length, np.int64)
-        open_ = np.arange(len(one))
+        open_ = np.flatnonzero(at < length)  # a trie may have branched at the last byte
         while len(open_):
             a, b = word[starts[one[open_]] + at[open_]], word[starts[other[open_]] + at[open_]]
             differ = a ^ b
@@ -240,11 +242,62 @@ def _same_row(left: DataFrame, right: DataFrame):
     return (left["text_hash"] == right["text_hash"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+#: A segment, or a part of one, to be sorted under a key: the hash of the bytes from `left` before its anchor to `right`
+#: behind it, which all of its windows hold.
+CUTS = pa.schema(
+    [("key", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64())]
+    + [("at", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())]
+)
+CUTS_DDL = (
+    "key binary, doc_id long, text_hash long, start long, at long, left long, right long, single boolean, bytes binary"
+)
+
+
+def split(left: int, right: int, length: int) -> list[tuple[int, int]]:
+    """The two longer keys that part the windows of a key: each window holds one of them and not the other.
+
+    A window has `length` - K bytes beside its anchor, so those that the key doesn't fix lie either by half and more
+    behind it or by more than half before it.
+    """
+    spare = length - K - left - right
+    return [(left, right + (spare + 1) // 2), (left + spare // 2 + 1, right)] if spare > 0 else []
+
+
+def windows_with(at: int, left: int, right: int, size: int, length: int) -> tuple[int, int]:
+    """First window and the one behind the last that hold a key, in `size` bytes with the anchor `at`."""
+    return max(0, at - (length - K - right)), min(size - length, at - left) + 1
+
+
+def _split_cuts(batches, length: int):
+    """The parts of every segment under the longer keys that windows of it hold, and a hash of each part as a whole."""
+    import xxhash
+
+    schema = pa.schema([*CUTS, ("whole", pa.binary())])
+    for batch in batches:
+        rows, held = [], 0
+        for row in batch.select(CUTS.names[1:]).to_pylist():
+            data = row["bytes"]
+            for left, right in split(row["left"], row["right"], length):
+                at = row["at"]
+                low, high = windows_with(at, left, right, len(data), length)
+                if low >= high:
+                    continue
+                key = xxhash.xxh3_128_digest(b"%d %d " % (left, right) + data[at - left : at + K + right])
+                part, at = data[low : high - 1 + length], at - low
+                whole = xxhash.xxh3_128_digest(b"%d " % at + part)
+                place = (row["doc_id"], row["text_hash"], row["start"] + low)
+                rows.append((key, *place, at, left, right, row["single"], part, whole))
+                held += len(part)
+            if held > 4 << 20:
+                yield _batch(rows, schema)
+                rows, held = [], 0
+        yield _batch(rows, schema)
+
+
 def _sorted_windows(table: pa.Table, length: int) -> list[tuple]:
-    """Rows (doc_id, text_hash, start, n) of windows that occur again, for the single segments of a task's anchors."""
+    """Rows (doc_id, text_hash, start, n) of windows that occur again, for the single segments of a task's keys."""
     ids, hashes = table["doc_id"].to_pylist(), table["text_hash"].to_numpy()
-    first, anchor = table["start"].to_numpy(), table["anchor"].to_numpy()
-    offset, single = table["offset"].to_numpy(), table["single"].to_numpy(zero_copy_only=False)
+    first, at, single = (table[c].to_numpy(zero_copy_only=False) for c in ("start", "at", "single"))
     texts = [x.as_py() for x in table["bytes"].combine_chunks()]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -252,9 +305,9 @@ def _sorted_windows(table: pa.Table, length: int) -> list[tuple]:
     owner = np.repeat(np.arange(len(texts)), n)
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(np.cumsum(sizes) - sizes, n) + within
-    # Equal windows have the anchor at the same place, so that place and the anchor are the first key.
-    number = np.unique(anchor, return_inverse=True)[1]
-    group = number[owner] * (length + 1) + (offset[owner] - within)
+    # Equal windows have the anchor at the same place, so that place and the key are the first key.
+    number = np.array(table["key"].combine_chunks().dictionary_encode().indices, np.int64)
+    group = number[owner] * (length + 1) + (at[owner] - within)
     found, _ = equal_suffixes(data, starts, group, length)
     found = found[single[owner[found]]]
     found = found[np.lexsort((within[found], owner[found]))]
@@ -266,22 +319,70 @@ def _sorted_windows(table: pa.Table, length: int) -> list[tuple]:
     ]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _sorted(cuts: DataFrame, length: int) -> DataFrame:
+    """The rows of _sorted_windows, where equal keys meet in one task; the number of tasks follows the bytes."""
+    size = cuts.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
+    task = F.pmod(F.xxhash64("key"), F.lit(lanes(size, TASK_BYTES)))
+    return (
+        cuts.groupBy(task.alias("task"))
+        .applyInArrow(lambda t: pa.Table.from_batches([_batch(_sorted_windows(t, length), PIECES)]), PIECES_DDL)
+    )
+
+
+def _frequent(cuts: DataFrame, length: int) -> DataFrame:
+    """Repeated windows (PIECES) of the segments of anchors that are too frequent for one task.
+
+    Segments go on in parts, under longer keys. As at first, parts with an equal whole are repeated altogether and
+    only one of them goes on; a key with one different part is done, up to GROUP_SEGMENTS are sorted, and more are
+    split again. Each split halves the bytes that a key leaves open, and a key as long as a window leaves one part, so
+    there are at most eight rounds for 200 bytes.
+    """
+    level = written(cuts.mapInArrow(lambda b: _split_cuts(b, length), CUTS_DDL + ", whole binary"), "suffix-level")
+    found = []
+    n = (F.octet_length("bytes") - length + 1).cast("long").alias("n")
+    places = [c for c in CUTS.names if c != "key"]
+    while True:
+        kinds = level.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*places)).alias("one"))
+        kinds = written(kinds, "suffix-kinds")
+        copied = kinds.where("copies > 1").select("key", "whole")
+        found.append(
+            written(level.where("single").join(copied, ["key", "whole"]).select(*ROW_KEY, "start", n), "suffix-copies")
+        )
+        different = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+        different = written(different, "suffix-different")
+        # Alone, so that a frequent key can be split over tasks.
+        open_ = kinds.join(different, "key").select("key", "copies", "one.*", "different")
+        open_ = written(open_.withColumn("single", F.col("single") & (F.col("copies") == 1)), "suffix-open")
+        released(level, kinds, different)
+        many = F.col("different") > GROUP_SEGMENTS
+        found.append(written(_sorted(open_.where(~many).select(CUTS.names), length), "suffix-sorted"))
+        rest = open_.where(many).select(CUTS.names)
+        if not rest.limit(1).count():
+            released(open_)
+            break
+        level = written(rest.mapInArrow(lambda b: _split_cuts(b, length), CUTS_DDL + ", whole binary"), "suffix-level")
+        released(open_)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, into: tuple[str, str] = ("span_starts", "span_ends")) -> DataFrame:
     """Adds to each row of docs the spans of its text that a string of `length` bytes covers which starts elsewhere too.
 
-    Returns all columns of docs (those with the names used here aside are untouched) with span_starts and span_ends
-    (array<long>, maximal runs, byte offsets in the UTF-8 text, empty where nothing repeats). Strings are judged on the
-    input; a text's own repeats count; matches never cross rows; repeated rows match each other. A null text is empty.
+    Returns all columns of docs, untouched, with two more, named by `into` (array<long>, maximal runs, byte offsets in
+    the UTF-8 text, empty where nothing repeats); a column of docs that has one of these names gives way to it. Strings
+    are judged on the input; a text's own repeats count; matches never cross rows; repeated rows match each other. A
+    null text is empty; an empty table gives an empty table.
 
     1. Every segment's anchor, content hash and place are written. 2. Anchors that occur once are dropped (a count,
     then a join that the optimiser may split by key). 3. Segments with an equal whole are repeated altogether. 4. Of
     the rest, each different segment is fetched once from its text, and its suffixes are sorted with those of the same
-    anchor. An anchor with more than GROUP_SEGMENTS different segments has its windows counted by a 128-bit hash of
-    their content instead, whatever their number. 5. The spans are joined to the texts. Only texts with unsorted
-    segments pass twice. Nothing is collected.
+    anchor. An anchor with more than GROUP_SEGMENTS different segments is parted by the bytes beside it first. 5. The
+    spans are joined to the texts. Only texts with unsorted segments pass twice. Nothing is collected.
     """
-    spark = docs.sparkSession
-    names = docs.columns
+    names = [n for n in docs.columns if n.lower() not in {x.lower() for x in into}]
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.col("text").cast("string").alias("text")
@@ -303,16 +404,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         shared.where("mixed").groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one")),
         "suffix-kinds",
     )
-    different = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    # 3. What is known without sorting: rows of segments with copies.
+    # Both joins stand alone, so that a frequent anchor or segment can be split over tasks.
+    different = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")), "suffix-different")
     copied = kinds.where("copies > 1").select("anchor", "segment")
-    known = shared.where("not mixed").select(*ROW_KEY, "start", "n").unionByName(
-        shared.where("mixed").join(copied, ["anchor", "segment"]).select(*ROW_KEY, "start", "n")
+    # 3. What is known without sorting: rows of segments with copies.
+    of_copies = written(
+        shared.where("mixed").join(copied, ["anchor", "segment"]).select(*ROW_KEY, "start", "n"), "suffix-copies"
     )
+    known = shared.where("not mixed").select(*ROW_KEY, "start", "n").unionByName(of_copies)
     # 4. One of each kind to be fetched.
-    fetch = kinds.join(different, "anchor").select(
-        "one.*", "anchor", (F.col("copies") == 1).alias("single"), (F.col("different") > GROUP_SEGMENTS).alias("hot")
+    fetch = written(
+        kinds.join(different, "anchor").select(
+            "one.*", "anchor", (F.col("copies") == 1).alias("single"), (F.col("different") > GROUP_SEGMENTS).alias("hot")
+        ),
+        "suffix-fetch",
     )
+    released(kinds, different)
     wanted = written(
         known.select(
             "*",
@@ -331,89 +438,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "suffix-wanted",
     )
-    released(shared, kinds)
+    released(shared, of_copies, fetch)
     fetching = wanted.where(F.size("fetch") > 0).select(*ROW_KEY, "fetch")
     texts = keyed.join(fetching, _same_row(keyed, fetching)).select(
         keyed["doc_id"], keyed["text_hash"], "text", "fetch"
     )
-    cut_schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("text_hash", pa.int64()),
-            ("start", pa.int64()),
-            ("anchor", pa.int64()),
-            ("offset", pa.int64()),
-            ("single", pa.bool_()),
-            ("hot", pa.bool_()),
-            ("bytes", pa.binary()),
-        ]
-    )
+    cut_schema = pa.schema([*CUTS, ("hot", pa.bool_())])
 
     def cut_out(batches):
         for batch in batches:
             rows = []
             held = 0
             for doc_id, h, text, fetch in zip(*(batch.column(c) for c in range(4)), strict=True):
-                data = text.as_py().encode()
+                data, row = text.as_py().encode(), (doc_id.as_py(), h.as_py())
                 for f in fetch.as_py():
                     part = data[f["start"] : f["start"] + f["n"] + length - 1]
                     # The anchor is the one string of its hash in the segment's first window.
-                    at = int(np.flatnonzero(rolling(np.frombuffer(part[:length], np.uint8), K).view(np.int64) == f["anchor"])[0])
-                    rows.append((doc_id.as_py(), h.as_py(), f["start"], f["anchor"], at, f["single"], f["hot"], part))
+                    anchor = np.int64(f["anchor"])
+                    at = int(np.flatnonzero(rolling(np.frombuffer(part[:length], np.uint8), K).view(np.int64) == anchor)[0])
+                    rows.append((anchor.tobytes(), *row, f["start"], at, 0, 0, f["single"], part, f["hot"]))
                     held += len(part)
-                if held > 4 << 20:
-                    yield _batch(rows, cut_schema)
-                    rows, held = [], 0
+                    if held > 4 << 20:
+                        yield _batch(rows, cut_schema)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows, cut_schema)
 
     # A repeated row would fetch its segment twice, which would then match itself.
     cuts = written(
-        texts.mapInArrow(
-            cut_out,
-            "doc_id long, text_hash long, start long, anchor long, offset long, single boolean, hot boolean, bytes binary",
-        ).dropDuplicates(["doc_id", "text_hash", "start", "anchor"]),
+        texts.mapInArrow(cut_out, CUTS_DDL + ", hot boolean").dropDuplicates(["doc_id", "text_hash", "start", "key"]),
         "suffix-cuts",
     )
-    tasks = 8 * shuffle_partitions(spark)
-    sorted_ = (
-        cuts.where("not hot")
-        .groupBy(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"))
-        .applyInArrow(lambda t: pa.Table.from_batches([_batch(_sorted_windows(t, length), PIECES)]), PIECES_DDL)
-    )
-    # Every window of a hot anchor under its hash, together with those around it that start in the same segment.
-    window_schema = pa.schema([*PIECES, ("single", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64())])
-
-    def windows(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for i in range(t.num_rows):
-                data = np.frombuffer(t["bytes"][i].as_py(), np.uint8)
-                h1 = rolling(data, length)
-                h2 = rolling(data[::-1], length)[::-1]
-                n = len(h1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([t["doc_id"][i].as_py()] * n, pa.int64()),
-                        pa.array([t["text_hash"][i].as_py()] * n, pa.int64()),
-                        pa.array(np.arange(n) + t["start"][i].as_py()),
-                        pa.array(np.ones(n, np.int64)),
-                        pa.array([t["single"][i].as_py()] * n),
-                        pa.array(np.ascontiguousarray(h1).view(np.int64)),
-                        pa.array(np.ascontiguousarray(h2).view(np.int64)),
-                    ],
-                    schema=window_schema,
-                )
-
-    hot = written(
-        cuts.where("hot").mapInArrow(lambda b: _together(windows(b)), PIECES_DDL + ", single boolean, h1 long, h2 long"),
-        "suffix-hot",
-    )
-    twice = written(
-        hot.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "suffix-twice"
-    )
-    hot_found = hot.where("single").join(twice, ["h1", "h2"]).select(*ROW_KEY, "start", "n")
-    found = sorted_.unionByName(hot_found).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "n")).alias("more"))
+    sorted_ = _sorted(cuts.where("not hot").drop("hot"), length)
+    hot = cuts.where("hot").drop("hot")
+    if hot.limit(1).count():
+        sorted_ = sorted_.unionByName(_frequent(hot, length))
+    found = sorted_.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "n")).alias("more"))
     ranges = wanted.select(*ROW_KEY, "known")
     spans = written(
         ranges.join(found, _same_row(ranges, found), "left")
@@ -422,16 +482,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .mapInArrow(lambda b: _merged(b, length), "doc_id long, text_hash long, span_starts array<long>, span_ends array<long>"),
         "suffix-spans",
     )
-    released(cuts, hot, twice, wanted)
-    out = docs.select(*(F.col(f"`{n}`") for n in names), text_hash.alias("_text_hash"), F.col("doc_id").cast("long").alias("_doc_id"))
-    spans = spans.select(F.col("doc_id").alias("_span_doc"), F.col("text_hash").alias("_span_hash"), "span_starts", "span_ends")
+    released(cuts, wanted)
+    row_hash, row_id, of_hash, of_id, starts, ends = free_names(docs, "row_hash", "row_id", "of_hash", "of_id", "starts", "ends")
+    plain = [F.col(f"`{n}`") for n in names]
+    out = docs.select(*plain, text_hash.alias(row_hash), F.col("doc_id").cast("long").alias(row_id))
+    spans = spans.toDF(of_id, of_hash, starts, ends)
     none = F.array().cast("array<long>")
-    return (
-        out.join(
-            spans, (F.col("_text_hash") == F.col("_span_hash")) & F.col("_doc_id").eqNullSafe(F.col("_span_doc")), "left"
-        )
-        .withColumns({c: F.coalesce(c, none) for c in ("span_starts", "span_ends")})
-        .select(*(out[n] for n in names), "span_starts", "span_ends")
+    return out.join(spans, (F.col(row_hash) == F.col(of_hash)) & F.col(row_id).eqNullSafe(F.col(of_id)), "left").select(
+        *plain, F.coalesce(starts, none).alias(into[0]), F.coalesce(ends, none).alias(into[1])
     )
 
 
@@ -476,17 +534,18 @@ def kept_text(text: str | None, starts: list[int], ends: list[int]) -> str | Non
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with its repeated spans cut out of text and n_chars set anew; other columns stay, null texts stay null.
 
-    Characters that a span cuts are kept whole, so that the text stays valid.
+    Characters that a span cuts are kept whole, so that the text stays valid. Columns of any other name are kept.
     """
-    spanned = repeated_spans(docs, length)
     names = docs.columns
+    spans = free_names(docs, "span_starts", "span_ends")
+    spanned = repeated_spans(docs, length, spans)
 
     def run(batches):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             texts = [
                 kept_text(t.as_py(), a.as_py(), b.as_py())
-                for t, a, b in zip(*(batch.column(at[c]) for c in ("text", "span_starts", "span_ends")), strict=True)
+                for t, a, b in zip(*(batch.column(at[c]) for c in ("text", *spans)), strict=True)
             ]
             cols = {n: batch.column(at[n]) for n in names}
             cols["text"] = pa.array(texts, pa.string())
