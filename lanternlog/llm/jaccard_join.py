@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, stars
-from .shared import doc_batches, documents, lanes, read_table, released, shuffle_partitions, written
+from .shared import doc_batches, documents, lanes, read_table, released, text_bytes, written
 
 BLOCK_BYTES = 4 << 20
 #: Sets in one block of a neighbourhood, and the bytes of their shingles; the larger number of blocks holds.
@@ -32,11 +32,19 @@ FANOUT = 16
 BITS = 1024
 #: Sizes of a band reach from its start to this many times it.
 BAND = 1.5
+#: Bands of one set are told apart by their number modulo this: no set has as many at 10 percent and above.
+TAGS = 8
+#: Bytes of text whose parts are met in one task, about.
+TASK_TEXT = 4 << 20
+#: Rows of three kinds: a text (its row key, set size and set hash), what a set needs in a band (tag, n parts), parts.
+TEXT, NEED, PART = 0, 1, 2
 SETS = pa.schema(
-    [("task", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64())]
-    + [("part", pa.binary()), ("at", pa.binary()), ("own", pa.binary())]
+    [("task", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_hash", pa.int64())]
+    + [("tag", pa.int64()), ("n", pa.int64()), ("part", pa.binary()), ("at", pa.binary()), ("own", pa.binary())]
+)
+SETS_DDL = (
+    "task long, kind byte, doc_id long, text_hash long, set_hash long, tag long, n long, part binary, at binary, own binary"
 )
-SETS_DDL = "task long, doc_id long, text_hash long, n long, set_hash long, part binary, at binary, own binary"
 U = np.uint64
 
 
@@ -50,6 +58,8 @@ class Limits:
     """What a threshold of percent / 100 asks of sizes and overlaps, in whole numbers."""
 
     def __init__(self, percent: int):
+        if not 10 <= percent <= 100:
+            raise ValueError("a threshold lies between 10 and 100 percent")
         self.percent = percent
         self.bands = [1]
         while self.bands[-1] < 1 << 40:
@@ -74,6 +84,11 @@ class Limits:
         # |A xor B| = |A| + |B| - 2 common, and common >= p (|A| + |B|) / (100 + p); both sizes are at most top.
         return (100 - self.percent) * 2 * top // (100 + self.percent)
 
+    def differing_from(self, n: int, band: int) -> int:
+        """How many shingles a set of size n and a linked one can differ in, if the larger one lies in the band."""
+        largest = min(self.bands[band + 1] - 1, 100 * n // self.percent)
+        return (100 - self.percent) * (n + largest) // (100 + self.percent)
+
     def bands_of(self, n: int) -> list[int]:
         """The bands in which the larger of a linked pair with a set of this size can lie."""
         first = self.band(n)
@@ -127,17 +142,20 @@ def _set_hash(shingles: np.ndarray) -> np.int64:
     return _scrambled(shingles.sum(keepdims=True) + U(len(shingles))).view(np.int64)[0]
 
 
-def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The set's part hashes in each band where a partner could be.
+def part_hashes(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The set's part hashes in each band where a partner could be, and for each band (its tag, the parts to be met).
 
     A band with d possible differences has d + 1 parts and some more; a shingle's hash says in which part it lies.
     Of two linked sets at least one part that holds anything is equal, if more than d parts hold anything. A set
-    that has no more than d such parts gives one hash for empty parts too, which then is equal instead.
+    that has no more than d such parts gives one hash for empty parts too, which then is equal instead. As a differing
+    shingle spoils one part, a set shares all its filled parts but as many as it can differ in with any partner. The
+    lowest bits of a part hash are its band's tag.
     """
     lim = limits(percent)
-    out = []
+    out, needs = [], []
+    n = len(shingles)
     spread = _scrambled(shingles + U(0x632BE59BD9B4E019))
-    for band in lim.bands_of(len(shingles)):
+    for band in lim.bands_of(n):
         d = lim.differing(band)
         if d == 0:
             continue  # only equal sets could link, and those are one class already
@@ -146,12 +164,14 @@ def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, own, _scrambled(shingles ^ U(0xD6E8FEB86659FD93)))
         filled = np.flatnonzero(np.bincount(own, minlength=parts))
-        tag = U((band << 40) & (2**64 - 1))
-        code = _scrambled(sums[filled] + _scrambled(filled.astype(np.uint64) + tag))
+        mark = U((band << 40) & (2**64 - 1))
+        code = _scrambled(sums[filled] + _scrambled(filled.astype(np.uint64) + mark))
         if len(filled) <= d:
             code = np.append(code, _scrambled(np.array([band], np.uint64) + U(0xA0761D6478BD642F)))
-        out.append(code)
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        tag = band % TAGS
+        out.append(code & ~U(TAGS - 1) | U(tag))
+        needs.append((tag, max(1, len(filled) - lim.differing_from(n, band))))
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64), needs
 
 
 def bitmaps(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -261,68 +281,90 @@ def _may(x: SignatureTree, i: np.ndarray, y: SignatureTree, j: np.ndarray, at: i
     return np.ones(len(i), bool)
 
 
+def _rows(length: int, schema: pa.Schema, /, **cols) -> pa.RecordBatch:
+    """Rows with these columns, the others null."""
+    every = [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(length, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(every, schema=schema)
+
+
+def _part_rows(once: dict, percent: int, tasks: int):
+    """For each task the parts of these sets (by hash) that it meets, in order of the sets that have them; and needs."""
+    own = np.fromiter(once, np.int64, len(once))
+    codes, needs = [], []
+    for h, shingles in once.items():
+        code, need = part_hashes(shingles, percent)
+        codes.append(code)
+        needs += [(h, *x) for x in need]
+    if not needs:
+        return
+    h, tag, n = zip(*needs, strict=True)
+    turns = np.arange(len(needs)) % tasks
+    yield _rows(len(needs), SETS, task=turns, kind=np.full(len(needs), NEED, np.int8), set_hash=h, tag=tag, n=n)
+    which = np.repeat(np.arange(len(codes), dtype=np.uint32), [len(x) for x in codes])
+    code = np.concatenate(codes)
+    task = (_scrambled(code.view(np.uint64)) % U(tasks)).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    code, which, task = code[order], which[order], task[order]
+    starts = np.flatnonzero(np.diff(task, prepend=-1))
+    rows = []
+    for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
+        sets, at = np.unique(which[lo:hi], return_inverse=True)
+        rows.append((int(task[lo]), code[lo:hi].tobytes(), at.astype(np.uint32).tobytes(), own[sets].tobytes()))
+    for k in range(0, len(rows), 1024):
+        task, part, at, of = zip(*rows[k : k + 1024], strict=True)
+        yield _rows(len(task), SETS, task=task, kind=np.full(len(task), PART, np.int8), part=part, at=at, own=of)
+
+
 def _set_rows(batches, words: int, percent: int, tasks: int):
-    """A row for each text, and for each task the parts that it meets: their hashes in order of the sets that have them."""
+    """A row for each text, and the parts of the texts' sets."""
     turn = 0
     for ids, texts in doc_batches(batches, BLOCK_BYTES):
         found = shingle_sets(texts, words)
         hashes = [int(_set_hash(s)) if len(s) else None for s in found]
         turns = np.arange(turn, turn + len(ids)) % tasks
         turn += len(ids)
-        none = pa.nulls(len(ids), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(turns, pa.int64()),
-                pa.array(ids, pa.int64()),
-                pa.array(_text_hashes(texts)),
-                pa.array([len(s) for s in found], pa.int64()),
-                pa.array(hashes, pa.int64()),
-                none,
-                none,
-                none,
-            ],
-            schema=SETS,
+        yield _rows(
+            len(ids),
+            SETS,
+            task=turns,
+            kind=np.full(len(ids), TEXT, np.int8),
+            doc_id=ids,
+            text_hash=_text_hashes(texts),
+            set_hash=hashes,
+            n=[len(s) for s in found],
         )
         # Equal sets of a block give their parts once, so that copies do not gather where their parts are met.
-        once = {h: i for i, h in enumerate(hashes) if h is not None}
-        if not once:
-            continue
-        own = np.fromiter(once, np.int64, len(once))
-        parts = [part_hashes(found[i], percent) for i in once.values()]
-        which = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
-        code = np.concatenate(parts)
-        task = (code.view(np.uint64) % U(tasks)).astype(np.int64)
-        order = np.argsort(task, kind="stable")
-        code, which, task = code[order], which[order], task[order]
-        starts = np.flatnonzero(np.diff(task, prepend=-1))
-        rows = []
-        for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
-            sets, at = np.unique(which[lo:hi], return_inverse=True)
-            rows.append((int(task[lo]), code[lo:hi].tobytes(), at.astype(np.uint32).tobytes(), own[sets].tobytes()))
-        for k in range(0, len(rows), 1024):
-            cols = list(zip(*rows[k : k + 1024], strict=True))
-            empty = pa.nulls(len(cols[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), empty, empty, empty, empty, *(pa.array(c, pa.binary()) for c in cols[1:])],
-                schema=SETS,
-            )
+        yield from _part_rows({h: found[i] for i, h in enumerate(hashes) if h is not None}, percent, tasks)
 
 
+def _held_rows(batches, percent: int, tasks: int):
+    """The parts of sets whose shingles are at hand."""
+    for batch in batches:
+        once, held = {}, 0
+        for h, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            once[h] = np.frombuffer(data.as_py(), np.uint64)
+            held += len(once[h])
+            if held >= KEYED_BLOCK:
+                yield from _part_rows(once, percent, tasks)
+                once, held = {}, 0
+        yield from _part_rows(once, percent, tasks)
+
+
+#: Rows of texts and needs as they are (a: the set's hash), and of PART: set a shares n parts of the band with others,
+#: of which b is the one with the smallest hash, the same for all that have the part.
 MET = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("text_row", pa.bool_())]
+    [("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64())]
+    + [("tag", pa.int64()), ("n", pa.int64())]
 )
-MET_DDL = "a long, b long, doc_id long, text_hash long, n long, text_row boolean"
+MET_DDL = "kind byte, a long, b long, doc_id long, text_hash long, tag long, n long"
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """A task's rows of texts as they are (a: the set's hash), and a row (a, b) for each set a that shares a part with b.
-
-    b is the smallest hash of a set that has the part, the same for all that have it.
-    """
+    """A task's rows of texts and needs, and who shares parts with whom: equal parts lie in one task."""
     import pyarrow.compute as pc
 
-    packed = pc.is_valid(table["part"])
-    texts = table.filter(pc.invert(packed))
+    packed = pc.equal(table["kind"], PART)
+    others = table.filter(pc.invert(packed))
     codes, owns = [], []
     some = table.filter(packed)
     for code, at, own in zip(some["part"], some["at"], some["own"], strict=True):
@@ -330,31 +372,50 @@ def _met(table: pa.Table) -> pa.Table:
         owns.append(np.frombuffer(own.as_py(), np.int64)[np.frombuffer(at.as_py(), np.uint32)])
     code = np.concatenate(codes) if codes else np.empty(0, np.int64)
     own = np.concatenate(owns) if owns else np.empty(0, np.int64)
-    order = np.argsort(code, kind="stable")
+    del codes, owns
+    order = np.lexsort((own, code))
     code, own = code[order], own[order]
-    del codes, owns, order
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
-    if len(starts):
-        hub = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(code))))
-        apart = own != hub
-        edges = np.unique(np.stack([own[apart], hub[apart]], axis=1), axis=0)
-    else:
-        edges = np.empty((0, 2), np.int64)
-    n = len(edges)
-    links = pa.Table.from_arrays(
-        [pa.array(edges[:, 0]), pa.array(edges[:, 1]), *[pa.nulls(n, pa.int64())] * 3, pa.array(np.zeros(n, bool))],
-        schema=MET,
+    del order
+    if len(code):
+        new = np.append(True, (code[1:] != code[:-1]) | (own[1:] != own[:-1]))  # a set may come from several blocks
+        code, own = code[new], own[new]
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
+    size = np.diff(np.append(starts, len(code)))
+    several = np.repeat(size > 1, size)
+    hub = np.repeat(own[starts], size)[several]
+    own, tag = own[several], code[several] & (TAGS - 1)
+    order = np.lexsort((tag, hub, own))
+    own, hub, tag = own[order], hub[order], tag[order]
+    new = np.append(True, (own[1:] != own[:-1]) | (hub[1:] != hub[:-1]) | (tag[1:] != tag[:-1]))[: len(own)]
+    starts = np.flatnonzero(new)
+    n = len(starts)
+    shared = _rows(
+        n,
+        MET,
+        kind=np.full(n, PART, np.int8),
+        a=own[starts],
+        b=hub[starts],
+        tag=tag[starts],
+        n=np.diff(np.append(starts, len(own))),
     )
     rows = pa.Table.from_arrays(
         [
-            texts["set_hash"],
-            pa.nulls(len(texts), pa.int64()),
-            *(texts[c] for c in ("doc_id", "text_hash", "n")),
-            pa.array(np.ones(len(texts), bool)),
+            others["kind"],
+            others["set_hash"],
+            pa.nulls(len(others), pa.int64()),
+            *(others[c] for c in ("doc_id", "text_hash", "tag", "n")),
         ],
         schema=MET,
     )
-    return pa.concat_tables([rows, links])
+    return pa.concat_tables([rows, pa.Table.from_batches([shared])])
+
+
+def _hopeful(met: DataFrame) -> DataFrame:
+    """The sets that share as many parts with other sets, all together, as a link needs in one of their bands."""
+    c = F.sum(F.when(F.col("kind") == PART, F.col("n")))
+    need = F.max(F.when(F.col("kind") == NEED, F.col("n")))
+    bands = met.where(F.col("kind") != TEXT).groupBy("a", "tag").agg(c.alias("c"), need.alias("need"))
+    return bands.where("c >= need").select(F.col("a").alias("set_hash")).distinct()
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -383,24 +444,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     a component. Empty table: no rows.
     Shingles and sets are told apart by 64-bit hashes. Whole texts count; there is no cap on partners or candidates.
     """
-    spark = docs.sparkSession
     base = documents(docs)
-    tasks = 4 * shuffle_partitions(spark)
+    tasks = lanes(text_bytes(base), TASK_TEXT)
     sets = base.mapInArrow(lambda b: _set_rows(b, words, percent, tasks), SETS_DDL)
     met = written(sets.groupBy("task").applyInArrow(_met, MET_DDL), "join-met")
     released()
-    slim = met.where("text_row").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash"))
-    star = met.where("not text_row").select("a", "b")
+    slim = written(
+        met.where(F.col("kind") == TEXT).select(
+            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("a").alias("set_hash")
+        ),
+        "join-texts",
+    )
     # Equal sets are one class. Its text comes from its first row, one with a doc_id if there is any.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     classes = slim.where("n_shingles > 0").groupBy("set_hash").agg(first)
     classes = written(classes.select("set_hash", "first.doc_id", "first.text_hash"), "join-classes")
-    route = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
-    routes = written(route, "join-routes")
+    hopeful = written(_hopeful(met), "join-hopeful")
+    released(met)
     chosen = (F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
-    candidates = written(classes.join(routes, "set_hash").select("set_hash", "route", *chosen), "join-candidates")
+    candidates = written(classes.join(hopeful, "set_hash").select("set_hash", *chosen), "join-candidates")
 
-    set_schema = pa.schema([("set_hash", pa.int64()), ("route", pa.int64()), ("shingles", pa.binary())])
+    set_schema = pa.schema([("set_hash", pa.int64()), ("shingles", pa.binary())])
 
     def again(batches):
         seen = set()  # repeated rows of a document lie in one partition
@@ -409,11 +473,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                 part = batch.slice(at, 256)
                 found = shingle_sets([t.as_py() or "" for t in part.column(0)], words)
                 rows = []
-                for s, h, r in zip(found, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for s, h in zip(found, part.column(1).to_pylist(), strict=True):
                     if len(s) and h not in seen and int(_set_hash(s)) == h:
                         seen.add(h)
-                        rows.append((h, r, s.tobytes()))
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+                        rows.append((h, s.tobytes()))
+                cols = list(zip(*rows, strict=True)) if rows else [[], []]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, set_schema.types, strict=True)], schema=set_schema
                 )
@@ -423,14 +487,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     numbered, others = base.where("doc_id is not null"), base.where("doc_id is null").distinct()
     texts = numbered.union(others).withColumn("text_hash", text_hash(F.col("text")))
     same_row = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
-    held = written(
+    alone = written(
         texts.join(candidates.hint("shuffle_hash"), same_row)
-        .select("text", "set_hash", "route")
-        .mapInArrow(again, "set_hash long, route long, shingles binary"),
-        "join-held",
+        .select("text", "set_hash")
+        .mapInArrow(again, "set_hash long, shingles binary"),
+        "join-sets",
     )
+    released(hopeful, candidates)
+    held, star = _routed(alone, percent)
     of = written(held.groupBy("route").agg(_blocks(F.count(F.lit(1)), _size()).alias("blocks")), "join-members")
-    released(routes, candidates)
     block = F.pmod(F.xxhash64("set_hash"), "blocks")
     blocks = held.join(of, "route").select("set_hash", "route", "shingles", block.alias("block"))
 
@@ -472,6 +537,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     )
 
 
+def _routed(alone: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with their neighbourhood (route), and the links (a, b) of a set with the smallest that has the same part.
+
+    Sets that could only link with sets that are no longer there go, as long as that takes many away.
+    """
+    count, size = alone.agg(F.count(F.lit(1)), _size()).first()
+    while True:
+        tasks = lanes(size or 0, TASK_SHINGLES // 2)
+        sets = alone.mapInArrow(lambda b: _held_rows(b, percent, tasks), SETS_DDL)  # noqa: B023
+        met = written(sets.groupBy("task").applyInArrow(_met, MET_DDL), "join-met")
+        hopeful = written(_hopeful(met), "join-hopeful")
+        before, count = count, hopeful.count()
+        if not count or count > 0.8 * before:
+            break
+        released(met)
+        fewer = written(alone.join(hopeful, "set_hash"), "join-sets")
+        released(alone, hopeful)
+        alone = fewer
+        size = alone.agg(_size()).first()[0]
+    star = written(met.where((F.col("kind") == PART) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "join-star")
+    routes = components(star).select(F.col("node").alias("set_hash"), F.col("component").alias("route"))
+    held = written(alone.join(hopeful, "set_hash").join(routes, "set_hash").select("set_hash", "route", "shingles"), "join-held")
+    released(met, hopeful, alone)
+    return held, star
+
+
 def _size():
     """The bytes of shingles of a group's sets."""
     return F.sum(F.octet_length("shingles").cast("long"))
@@ -603,7 +694,7 @@ def _across_blocks(held, several, star, links, percent: int) -> DataFrame:
     one = sized.select(F.col("set_hash").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     two = sized.select(F.col("set_hash").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = star.distinct().join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
+    apart = star.join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
     apart = written(apart, "join-apart")
     mine = alone.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
     theirs = alone.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
