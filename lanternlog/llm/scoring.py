@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_batches, documents, read_table, released, remainder, shuffle_partitions, written
+from .shared import doc_batches, documents, lanes, read_table, released, remainder, text_bytes, written
 
 BLOCK_BYTES = 8 << 20
 #: Documents with this remainder of crc32(doc_id) mod FOLDS are not learned from.
 FOLDS, HELD_OUT = 7, 2
 #: One in so many of the others is set aside for learning the weights.
 DEVELOPMENT = 16
+#: Bytes of text whose words and pairs are counted in one task, about.
+PART_TEXT = 4 << 20
 BUCKETS = 32
 ROUNDS = 40
 #: Steps of the grid on which held-out events are counted, for each doubling of a ratio of estimates.
@@ -220,7 +222,8 @@ def _answers(requests: DataFrame) -> DataFrame:
         totals = np.array([(every[words] > 0).sum(), every[words].sum(), fit[words].sum()], np.int64)
         rows = [(-1, part, totals.astype("<i8").tobytes())]
         for (block, _), mine in zip(asked, spans, strict=True):
-            rows.append((block, part, _pack(n=(fit if block & 1 else every)[mine].astype(np.uint32))))
+            n = (fit if block & 1 else every)[mine]
+            rows.append((block, part, _pack(n=n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n)))
         return pa.Table.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CODED.types, strict=True)], schema=CODED
         )
@@ -341,8 +344,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null and empty texts have one token, the end. Repeated rows: each learned from and scored. Empty table: no rows.
     With nothing to learn from, every word has the uniform probability.
     """
-    spark = docs.sparkSession
-    bits = max(4, (2 * shuffle_partitions(spark) - 1).bit_length())
+    bits = (lanes(text_bytes(docs), PART_TEXT) - 1).bit_length()
     # The requests are shuffled as they are made; only the coded documents and the answers are written.
     coded = written(_coded(docs), "lm-coded")
     answers = written(_answers(_asked(coded, bits)), "lm-answers")
