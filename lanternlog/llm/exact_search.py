@@ -15,8 +15,10 @@ from .shared import read_table, written
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 256
 LEAF = 64
-#: Parts over which the shards are dealt, and to each of which every block of queries goes.
-LANES = 64
+#: Parts over which the shards are dealt, and to each of which every block of queries goes: one for so many shards, and
+#: from the first to the second number of them. A lane's shards pass one by one, so their number bounds no memory.
+LANE_SHARDS = 64
+LANES = (64, 4096)
 PACKED = pa.schema([("part", pa.int64()), ("data", pa.binary())])
 FOUND = pa.schema(
     [("block", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
@@ -166,7 +168,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     shards = _packed(clean(vectors), SHARD_ROWS, True)
     blocks = _packed(clean(queries), BLOCK_QUERIES, False)
-    shards = written(shards.select(F.pmod(F.xxhash64("part"), F.lit(LANES)).alias("lane"), "part", "data"), "kd-shards")
+    shards = written(shards, "kd-shards")
+    n_lanes = min(LANES[1], max(LANES[0], -(-shards.count() // LANE_SHARDS)))
+    shards = shards.select(F.pmod(F.xxhash64("part"), F.lit(n_lanes)).alias("lane"), "part", "data")
     blocks = written(blocks.select(F.col("part").alias("block"), F.col("data").alias("asked")), "kd-queries")
 
     def run(batches, floors_given):
@@ -187,7 +191,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     # One shard for each block: the shard of the smallest number in the block's lane, or else in any.
     lanes = shards.groupBy("lane").agg(F.min("part").alias("part"))
-    number = F.row_number().over(Window.orderBy("lane")) - 1  # at most LANES rows
+    number = F.row_number().over(Window.orderBy("lane")) - 1  # at most LANES[1] rows
     lanes = lanes.select(number.alias("turn"), "part", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("of"))
     turns = F.broadcast(lanes)
     chosen = blocks.join(turns, F.pmod(F.xxhash64("block"), F.col("of")) == F.col("turn"))
@@ -205,7 +209,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .select("block", F.col("f.place").alias("places"), F.col("f.floor").alias("floors"))
     )
     asked = blocks.join(floors, "block", "left").withColumn(
-        "lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))
+        "lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lanes - 1).cast("long")))
     )
     found = (
         asked.join(shards, "lane")
