@@ -142,8 +142,8 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """All columns of docs with _lang_pred added, as predict_languages gives it, without a join."""
+def with_language(docs: DataFrame, profiles: Profiles, into: str = "_lang_pred") -> DataFrame:
+    """All columns of docs with one more, which docs must not have: lang_pred of predict_languages, without a join."""
 
     def run(batches):
         for batch in batches:
@@ -153,10 +153,10 @@ def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 part = batch.slice(k, 512)
                 found = [profiles.predict(t.as_py())[0] for t in texts.slice(k, 512)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "_lang_pred"]
+                    [*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, into]
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.StringType())]))
 
 
 def fit(docs: DataFrame) -> Profiles:
