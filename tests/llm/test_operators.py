@@ -63,7 +63,7 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
         starts = np.array([i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1], np.int64)
         a, b = suffix_dedup.runs(starts, starts + 200)
         wanted.append((doc_id, a.tolist(), b.tolist()))
-    for most in (2000, 1):  # the second way deals out windows of crowded anchors
+    for most in (2000, 1):  # the second way splits the keys of crowded anchors
         monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", most)
         found = suffix_dedup.repeated_spans(docs)
         assert found.columns == [*docs.columns, "span_starts", "span_ends"]
@@ -599,3 +599,100 @@ def test_scores_against_brute_force(spark, mixed):
     got, wanted = sorted(((r.doc_id, r.score) for r in found), key=order), sorted(brute_scores(mixed), key=order)
     assert [g[0] for g in got] == [w[0] for w in wanted]
     assert np.allclose([g[1] for g in got], [w[1] for w in wanted], rtol=1e-6, atol=0)
+
+
+def test_suffixes_that_differ_from_the_last_byte_on(spark):
+    """A trie that branches at the last byte, at the very end of the data."""
+    common = "".join(random.Random(3).choice("abcdefgh") for _ in range(199))
+    data = np.frombuffer((common + "A" + common + "B" + common + "B").encode(), np.uint8)
+    found, _ = suffix_dedup.equal_suffixes(data, np.array([0, 200, 400]), np.zeros(3, np.int64))
+    assert sorted(found.tolist()) == [1, 2]
+    docs = spark.createDataFrame([(1, common + "A"), (2, common + "B"), (3, common + "B")], "doc_id long, text string")
+    got = {r.doc_id: (r.span_starts, r.span_ends) for r in suffix_dedup.repeated_spans(docs).collect()}
+    assert got == {1: ([], []), 2: ([0], [200]), 3: ([0], [200])}
+
+
+@pytest.mark.parametrize("length", [200, 33, 40, 47])
+def test_longer_keys_part_the_windows(length):
+    """Every window holds exactly one of the two longer keys, down to keys that are a whole window."""
+    spare = length - suffix_dedup.K
+    keys, rounds = [(0, 0)], 0
+    while keys:
+        longer = []
+        for left, right in keys:
+            windows = [a for a in range(spare + 1) if a >= left and spare - a >= right]  # by bytes before the anchor
+            two = suffix_dedup.split(left, right, length)
+            for a in windows if two else []:
+                assert sum(a >= x and spare - a >= y for x, y in two) == 1
+            assert two or len(windows) == 1
+            longer += two
+        keys, rounds = longer, rounds + 1
+    assert rounds <= 9
+
+
+def test_frequent_anchor(spark, monkeypatch):
+    """Hundreds of texts around one passage: its anchors are split to the end, and nothing is lost or added."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", 3)
+    rng = random.Random(11)
+    passage = text_of(rng, 120)
+    rows = []
+    for i in range(80):
+        cut = rng.randrange(len(passage) - 150)
+        rows.append((i, text_of(rng, 40) + passage[cut : cut + rng.randint(60, 400)] + text_of(rng, 40)))
+    data = [(i, t.encode()) for i, t in rows]
+    count = collections.Counter(t[i : i + 200] for _, t in data for i in range(len(t) - 199))
+    wanted = {}
+    for doc_id, t in data:
+        starts = np.array([i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1], np.int64)
+        wanted[doc_id] = tuple(x.tolist() for x in suffix_dedup.runs(starts, starts + 200))
+    found = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.span_starts, r.span_ends) for r in found.collect()} == wanted
+    assert any(a for a, _ in wanted.values())
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("texts", [["a b"], ["a b c d", "a b c e", "a b c d", "", None], ["x"] * 4 + ["A b C d e f g"]])
+def test_jaccard_join_of_short_texts(spark, words, percent, texts):
+    """Sets too small to differ in anything have no parts at all."""
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, words, percent).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows, words, percent)))
+
+
+def test_linked_sets_share_the_parts_they_need():
+    """The bound by which sets are left out: a linked pair has, in the larger one's band, at least the parts needed."""
+    rng = np.random.default_rng(2)
+    tried = 0
+    for percent in (60, 80, 90):
+        lim = jaccard_join.limits(percent)
+        for _ in range(400):
+            n = int(rng.integers(3, 400))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            lost = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
+            more = rng.integers(0, 2**63, int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))).astype(np.uint64)
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], more]))
+            if not len(b) or np.array_equal(a, b) or not lim.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                continue
+            tried += 1
+            tag = lim.band(max(len(a), len(b))) % jaccard_join.TAGS
+            (x, x_needs), (y, y_needs) = (jaccard_join.part_hashes(s, percent) for s in (a, b))
+            shared = np.intersect1d(x, y)
+            met = int(((shared & (jaccard_join.TAGS - 1)) == tag).sum())
+            assert met >= dict(x_needs)[tag] and met >= dict(y_needs)[tag]
+    assert tried > 300
+
+
+def test_stages_keep_columns_of_any_name(spark, rows):
+    """Documents that have the names used inside the stages and operators, in any case."""
+    import corpus_pipeline
+
+    names = ["lang_pred", "_lang_pred", "near_text", "_near_id", "span_starts", "Span_Ends", "row_hash", "uid", "_kept", "part"]
+    docs = spark.createDataFrame([(r[0], r[1], r[2], "s", 1, *names) for r in rows], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, None)
+        assert out.columns == docs.columns
+    kept = out.select(*names).distinct().collect()
+    assert [tuple(r) for r in kept] == [tuple(names)]
+    assert corpus_pipeline.STAGES[-1][1](spark, out, None).count() > 0
