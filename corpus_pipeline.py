@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanternlog.llm import language_id, packing
 from lanternlog.llm.jaccard_join import near_duplicates, text_hash
-from lanternlog.llm.shared import read_table, tokenizer_path, written
+from lanternlog.llm.shared import free_names, read_table, tokenizer_path, written
 from lanternlog.llm.suffix_dedup import without_repeats
 
 
@@ -26,7 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     profiles = language_id.fit(docs)
     if not profiles.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language_id.with_language(docs, profiles).where(F.col("_lang_pred") != language_id.UNDETERMINED).drop("_lang_pred")
+    (predicted,) = free_names(docs, "lang_pred")
+    found = language_id.with_language(docs, profiles, predicted)
+    return found.where(F.col(predicted) != language_id.UNDETERMINED).drop(predicted)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is a doc_id and a text, so texts of null or repeated ids go only if a near duplicate stays. Texts
     without a word are in no group; they stay. Texts and groups are told apart by 64-bit hashes.
     """
-    key = ["_near_no_id", "_near_id", "_near_text"]
+    key = list(free_names(docs, "near_no_id", "near_id", "near_text"))
 
     def keyed(df: DataFrame, text_hash: Column) -> DataFrame:
         doc_id = F.col("doc_id").cast("long")
@@ -46,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
     stays = first.union(found.where("root is null").select(*key)).distinct()
     once = keyed(docs, text_hash(F.col("text"))).dropDuplicates(key)
-    return once.join(stays, key, "left_semi").select(*docs.columns)
+    return once.join(stays, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
