@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -48,6 +50,20 @@ def unsigned(text: Column) -> Column:
     return F.when(value <= F.lit(str(U64_MAX)).cast("decimal(20,0)"), value)
 
 
+_TAKEN: ContextVar[dict | None] = ContextVar("_TAKEN", default=None)
+
+
+@contextmanager
+def taken_out():
+    """Fields made inside read columns instead of the event: {path: (column name, what the column must hold)}."""
+    columns: dict[str, tuple] = {}
+    token = _TAKEN.set(columns)
+    try:
+        yield columns
+    finally:
+        _TAKEN.reset(token)
+
+
 @dataclass(frozen=True)
 class Field:
     """A field by its name. Missing and JSON null differ: null is present, but has neither text nor number."""
@@ -60,14 +76,18 @@ class Field:
 
     @cached_property
     def raw(self) -> Column:
-        return F.try_variant_get(F.col("raw"), variant_path(self.name), "variant")
+        found = F.try_variant_get(F.col("raw"), variant_path(self.name), "variant")
+        columns = _TAKEN.get()
+        if columns is None:
+            return found
+        return F.col(columns.setdefault(self.name, (f"__field_{len(columns)}", found))[0])
 
     @cached_property
     def kind(self) -> Column:
         return F.schema_of_variant(self.raw)
 
     def _raw_text(self) -> Column:
-        text = F.try_variant_get(F.col("raw"), variant_path(self.name), "string")
+        text = F.try_variant_get(self.raw, "$", "string")
         return F.when(~(self.kind.startswith("ARRAY") | self.kind.startswith("OBJECT") | (self.kind == "VOID")), text)
 
     def _raw_number(self) -> Column:
@@ -96,7 +116,7 @@ class Field:
 
     @property
     def boolean(self) -> Column:
-        own = F.when(self.kind == "BOOLEAN", F.try_variant_get(F.col("raw"), variant_path(self.name), "boolean"))
+        own = F.when(self.kind == "BOOLEAN", F.try_variant_get(self.raw, "$", "boolean"))
         return F.when(F.col(self.alias).isNull(), own) if self.alias else own
 
     @property

@@ -1,15 +1,16 @@
 """Correlation of rule matches in event time: counts, distinct counts, sets and sequences over windows.
 
 The only step that depends on the order of all matches is the watermark, the greatest time so far less the allowed
-lateness; it comes from running maxima inside files and over the files' own maxima. After that every state key is
-folded by itself, in its own task. Only where there are more keys than max_state allows, which makes keys evict each
-other, one ordered fold goes through all.
+lateness; it comes from running maxima inside stretches of a file and over the stretches' own maxima. After that every
+state key is folded by itself, in its own task. Keys evict each other only where more of them than max_state could be
+alive at once, which counts of keys by time tell; then one ordered fold goes through all.
 """
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,10 +21,14 @@ from ..plans.sigma import COUNT_OPS, Rule, field_path
 
 LATENESS_US = 120_000_000
 MAX_STATE = 100_000
+#: Records of a file, in a power of two, whose running maximum is taken in one go.
+STRETCH = 18
+ENTRY = "struct<file_path: string, file_seq: int, rec_seq: long, rule_index: int, time_us: long, fields: array<string>>"
 OUT = (
     "correlation_index int, scope string, groups array<string>, time_us long, window_start_us long, window_end_us long, "
-    "seqs array<long>"
+    f"seqs array<long>, entries array<{ENTRY}>"
 )
+OUT_NAMES = ["correlation_index", "scope", "groups", "time_us", "window_start_us", "window_end_us", "seqs", "entries"]
 
 
 def reference(rules: list[Rule], name: str) -> int | None:
@@ -38,11 +43,22 @@ class Fold:
 
     def __init__(self, kind: str, op: str | None, count: int, needed: int, span: int):
         self.kind, self.op, self.count, self.needed, self.span = kind, op, count, needed, span
-        self.entries: list[tuple] = []  # (time, seq, position of the reference, value)
+        self.entries: list[tuple] = []  # (time, position of the reference, value, what is told of it)
+        self.seen: Counter = Counter()  # entries by value, or by position
         self.told = False
 
+    def mark(self, entry: tuple):
+        return entry[2] if self.kind == "value_count" else entry[1]
+
     def evict(self, watermark: int) -> None:
-        keep = bisect.bisect_left(self.entries, (watermark - self.span,))
+        keep = 0
+        for e in self.entries:
+            if e[0] >= watermark - self.span:
+                break
+            keep += 1
+            self.seen[self.mark(e)] -= 1
+            if not self.seen[self.mark(e)]:
+                del self.seen[self.mark(e)]
         if keep:
             del self.entries[:keep]
             if not self.entries:
@@ -52,20 +68,24 @@ class Fold:
         if self.kind == "event_count":
             return COUNT_OPS[self.op](len(self.entries), self.count)
         if self.kind == "value_count":
-            return COUNT_OPS[self.op](len({e[3] for e in self.entries}), self.count)
-        if self.kind == "temporal":
-            return len({e[2] for e in self.entries}) == self.needed
+            return COUNT_OPS[self.op](len(self.seen), self.count)
+        if self.kind == "temporal" or len(self.seen) < self.needed:
+            return len(self.seen) == self.needed
         step = 0
         for e in self.entries:
-            step += e[2] == step
+            step += e[1] == step
             if step == self.needed:
                 return True
         return False
 
-    def observe(self, time: int, seq: int, position: int, value, watermark: int) -> bool:
+    def observe(self, entry: tuple, watermark: int) -> bool:
         """True if the condition becomes true with this match."""
         self.evict(watermark)
-        bisect.insort(self.entries, (time, seq, position, value), key=lambda e: e[:2])
+        at = len(self.entries)
+        while at and self.entries[at - 1][0] > entry[0]:  # behind those of the same time
+            at -= 1
+        self.entries.insert(at, entry)
+        self.seen[self.mark(entry)] += 1
         now = self.holds()
         told, self.told = self.told, now
         return now and not told
@@ -78,17 +98,20 @@ def feed(matches: DataFrame, rules: list[Rule], lateness_us: int = LATENESS_US)
     )
     timed = matches.where(F.col("rule_index").isin(used)).withColumn("time_us", F.unix_micros(instant(F.col("timestamp"))))
     timed = timed.where("time_us is not null")
-    order = Window.partitionBy("file_seq").orderBy("rec_seq", "rule_index")
-    files = timed.groupBy("file_seq").agg(F.max("time_us").alias("top"))
-    ahead = Window.orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file_seq", F.max("top").over(ahead).alias("top_ahead"))
+    timed = timed.withColumn("stretch", F.shiftright("rec_seq", STRETCH))
+    place = ["file_seq", "stretch"]
+    order = Window.partitionBy(*place).orderBy("rec_seq", "rule_index")
+    tops = timed.groupBy(*place).agg(F.max("time_us").alias("top"))
+    # One row for each stretch of records goes through this window.
+    ahead = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*place, F.max("top").over(ahead).alias("top_ahead"))
     inside = F.max("time_us").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = timed.withColumn("inside", inside).join(files, "file_seq")
+    marked = timed.withColumn("inside", inside).join(tops, place)
     mark = F.greatest("inside", F.coalesce("top_ahead", "inside")) - F.lit(lateness_us)
-    return marked.withColumn("watermark", mark).where("time_us >= watermark").drop("inside", "top_ahead")
+    return marked.withColumn("watermark", mark).where("time_us >= watermark").drop("inside", "top_ahead", "stretch")
 
 
-def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str) -> DataFrame:
+def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str, event_fields: list[str]) -> DataFrame:
     c = rules[index].correlation
     refs = [reference(rules, n) for n in c.rules]
     if any(r is None for r in refs):
@@ -106,44 +129,67 @@ def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str) -> DataFra
         F.lit(index).alias("correlation_index"),
         scopes[scope].alias("scope"),
         F.array(*keys).cast("array<string>").alias("groups"),
+        "file_path",
         "file_seq",
         "rec_seq",
         "rule_index",
         "time_us",
         "watermark",
+        F.array(*(Field(n).text for n in event_fields)).cast("array<string>").alias("fields"),
         position.alias("position"),
         F.array(*values).cast("array<string>").alias("value"),
     )
 
 
+def _crowded(rows: DataFrame, key: list[str], reach_us: int, max_state: int) -> bool:
+    """Whether more than max_state keys could be alive at once.
+
+    Live keys have a match within reach_us before the greatest time so far, so in two neighbouring stretches of time of
+    that length; the keys of these are counted.
+    """
+    stretch = F.floor(F.col("time_us") / reach_us)
+    keys = rows.select(*key, stretch.alias("stretch")).distinct()
+    both = keys.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select(
+        F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("stretch"), "n"
+    )
+    most = both.groupBy("stretch").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > max_state
+
+
 def correlate(
     matches: DataFrame,
     rules: list[Rule],
     scope: str = "host",
     lateness_us: int = LATENESS_US,
     max_state: int = MAX_STATE,
+    event_fields: list[str] | None = None,
 ) -> DataFrame:
     """A row whenever a correlation's condition becomes true for its key.
 
-    Windows reach back the timespan from the watermark. seqs are the record numbers of all matches in the window.
+    Windows reach back the timespan from the watermark. entries are all matches in the window, in order of time, with
+    the texts of event_fields; seqs are their record numbers. scope: file, host or global. With max_state (0: without
+    limit), the key whose latest match is oldest goes whenever more keys than that are alive.
     """
+    if scope not in ("file", "host", "global"):
+        raise ValueError(f"scope {scope}")
     fed = feed(matches, rules, lateness_us)
     chosen = [i for i, r in enumerate(rules) if r.correlation]
     if not chosen:
         return matches.sparkSession.createDataFrame([], OUT)
     rows = None
     for i in chosen:
-        part = _keyed(fed, rules, i, scope)
+        part = _keyed(fed, rules, i, scope, event_fields or [])
         rows = part if rows is None else rows.unionByName(part)
     plans = {
         i: (c.kind, c.op, c.count, len(c.rules), c.timespan_us) for i in chosen for c in [rules[i].correlation]
     }
     key = ["correlation_index", "scope", "groups"]
-    alone = max_state and rows.select(*key).distinct().limit(max_state + 1).count() > max_state
+    reach = max(p[-1] for p in plans.values()) + lateness_us + 1
+    alone = bool(max_state) and _crowded(rows, key, reach, max_state)
     grouped = rows.groupBy(F.lit(0)) if alone else rows.groupBy(*key)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_folded(pdf, plans, max_state if alone else 0)), columns=[c.split()[0] for c in OUT.split(", ")])
+        return pd.DataFrame(list(_folded(pdf, plans, max_state if alone else 0)), columns=OUT_NAMES)
 
     return grouped.applyInPandas(fold, OUT)
 
@@ -151,17 +197,53 @@ def correlate(
 def _folded(pdf: pd.DataFrame, plans: dict, max_state: int) -> Iterator[tuple]:
     pdf = pdf.sort_values(["file_seq", "rec_seq", "rule_index", "correlation_index"], kind="stable")
     state: dict[tuple, Fold] = {}
+    ends: list[tuple] = []  # (when the key's latest entry leaves the window, key), put right when it is met
+    ages: list[tuple] = []  # (time of the key's latest entry, key), likewise
     for r in pdf.itertuples(index=False):
         key = (r.correlation_index, r.scope, tuple(r.groups))
-        if max_state:
-            for k, f in list(state.items()):
-                f.evict(r.watermark)
-                if not f.entries:
+        while max_state and ends and ends[0][0] < r.watermark:
+            _, k = heappop(ends)
+            if k in state:
+                end = state[k].entries[-1][0] + state[k].span
+                if end < r.watermark:
                     del state[k]
-        f = state.setdefault(key, Fold(*plans[r.correlation_index]))
-        if f.observe(r.time_us, (r.file_seq << 40) + r.rec_seq, r.position, tuple(r.value), r.watermark):
+                else:
+                    heappush(ends, (end, k))
+        if key not in state:
+            f = state[key] = Fold(*plans[r.correlation_index])
+            if max_state:
+                heappush(ends, (r.time_us + f.span, key))
+                heappush(ages, (r.time_us, key))
+        f = state[key]
+        told = (r.file_path, r.file_seq, r.rec_seq, r.rule_index, r.time_us, list(r.fields))
+        if f.observe((r.time_us, r.position, tuple(r.value), told), r.watermark):
             first, last = f.entries[0][0], f.entries[-1][0]
-            seqs = [e[1] & ((1 << 40) - 1) for e in f.entries]
-            yield r.correlation_index, r.scope, list(r.groups), r.time_us, first, last, seqs
+            entries = [e[3] for e in f.entries]
+            yield *key[:2], list(r.groups), r.time_us, first, last, [e[2] for e in entries], entries
         while max_state and len(state) > max_state:
-            del state[min(state, key=lambda k: (state[k].entries[-1][0], k))]
+            age, k = heappop(ages)
+            if k not in state:
+                continue
+            latest = state[k].entries[-1][0]
+            if latest != age:
+                heappush(ages, (latest, k))
+            else:
+                del state[k]
+
+
+def pretty(row, rules: list[Rule], event_fields: list[str] | None = None, event_limit: int = 3) -> str:
+    """A correlation's row as lines: the rule, its group and window, and up to event_limit of its events (0: all)."""
+    rule = rules[row.correlation_index]
+    out = [f"{rule.title} [{rule.level or '-'}]"]
+    names = [*rule.correlation.group_by]
+    out += [f"  scope: {row.scope}"] if row.scope else []
+    out += [f"  {n}: {v}" for n, v in zip(names, row.groups, strict=True)]
+    when = [pd.Timestamp(t, unit="us", tz="UTC").isoformat().replace("+00:00", "Z") for t in (row.window_start_us, row.window_end_us)]
+    out.append(f"  window: {when[0]} to {when[1]}, {len(row.entries)} events")
+    shown = row.entries[: event_limit or None]
+    for e in shown:
+        fields = " ".join(f"{n}={'' if v is None else v}" for n, v in zip(event_fields or [], e.fields, strict=True))
+        out.append(f"  - {e.file_path}#{e.rec_seq} {rules[e.rule_index].title} {fields}".rstrip())
+    if len(shown) < len(row.entries):
+        out.append(f"  ... {len(row.entries) - len(shown)} more")
+    return "\n".join(out)

@@ -7,13 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import Field
+from ..functions.fields import Field, taken_out
 from ..plans.sigma import Rule
 from ..plans.stql import Query, Summarize, condition, parse
 
 META = ("timestamp", "record_id", "channel", "provider", "event_id", "computer")
-#: Rules whose conditions stand in one projection; more make methods too long for compilation.
-RULES_A_PASS = 64
+#: Tasks over which the distinct values of one group are dealt before the first of them are kept.
+SPREAD = 16
+#: Rules whose hits make up one array; the arrays of all rules stand side by side in one scan.
+RULES_AN_ARRAY = 64
 
 
 def matching(events: DataFrame, query: str | Query) -> DataFrame:
@@ -39,7 +41,7 @@ def first_matches(events: DataFrame, n: int) -> DataFrame:
 
 def summarize(events: DataFrame, plan: Summarize) -> DataFrame:
     """One row for each group. make_set keeps the first distinct values in event order, as many as its size, and sorts
-    them. Without groups, no event gives no row. Sets of the default size need no ordering: they are plain sets."""
+    them. Without groups, no event gives no row."""
     last = {g.alias: g for g in plan.by}
     by = [Field(g.field).text.alias(f"g{i}") for i, g in enumerate(last.values())]
     keys = [f"g{i}" for i in range(len(last))]
@@ -48,16 +50,15 @@ def summarize(events: DataFrame, plan: Summarize) -> DataFrame:
     if not plan.aggregates:
         out = rows.select(*keys).distinct()
     else:
-        aggs = [F.count(F.lit(1)).alias("total")]
-        aggs += [F.array_sort(F.collect_set(f"v{i}")).alias(f"a{i}") for i, a in sets if a.size > 1_000_000]
-        out = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs).where("total > 0")
+        total = F.count(F.lit(1)).alias("total")
+        out = rows.groupBy(*keys).agg(total) if keys else rows.agg(total).where("total > 0")
         for i, a in sets:
-            if a.size > 1_000_000:
-                continue
             first = rows.where(F.col(f"v{i}").isNotNull()).groupBy(*keys, f"v{i}").agg(F.min(F.struct("file_seq", "rec_seq")).alias("at"))
-            window = Window.partitionBy(*keys).orderBy("at")
-            kept = first.withColumn("r", F.row_number().over(window)).where(F.col("r") <= a.size)
-            capped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(f"v{i}")).alias(f"a{i}"))
+            # In two steps, so that the values of one large group are ranked in several tasks first.
+            for dealt in (F.pmod(F.xxhash64(f"v{i}"), F.lit(SPREAD)), F.lit(0)):
+                window = Window.partitionBy(*keys, dealt).orderBy("at", f"v{i}")
+                first = first.withColumn("r", F.row_number().over(window)).where(F.col("r") <= a.size).drop("r")
+            capped = first.groupBy(*keys).agg(F.array_sort(F.collect_list(f"v{i}")).alias(f"a{i}"))
             names = [f"{k}_{i}" for k in keys]
             capped = capped.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), f"a{i}")
             same = [out[k].eqNullSafe(capped[n]) for k, n in zip(keys, names, strict=True)]
@@ -66,7 +67,9 @@ def summarize(events: DataFrame, plan: Summarize) -> DataFrame:
     cols = {g: F.col(f"g{i}") for i, g in enumerate(last)}
     for i, a in enumerate(plan.aggregates):
         cols[a.alias] = F.col("total") if a.kind == "count" else F.col(f"a{i}")
-    return out.select(*(c.alias(n) for n, c in cols.items()))
+    # Groups in order, a missing one first; the keys stand beside the columns, whose names may repeat theirs.
+    ordered = out.orderBy(*(F.asc_nulls_first(k) for k in keys)) if keys else out
+    return ordered.select(*(c.alias(n) for n, c in cols.items()))
 
 
 def search(events: DataFrame, text: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -93,22 +96,24 @@ def nested_summary(rows: DataFrame, plan: Summarize) -> DataFrame:
 def rule_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """An event row with rule_index for each rule that it matches; correlation documents match nothing.
 
-    Every pass holds RULES_A_PASS conditions over one scan; a pass whose rules all name their event ids reads only
-    those, so that a columnar source skips the others.
+    All rules are tested in one scan, and a field that rules name is taken out of the event once. Where all rules name
+    their event ids, only those are read, so that a columnar source skips the others.
     """
     numbered = [(i, r) for i, r in enumerate(rules) if r.correlation is None]
-    by_ids = sorted(numbered, key=lambda x: (x[1].event_ids() is None, sorted(x[1].event_ids() or ()), x[0]))
-    out = None
-    for at in range(0, len(by_ids), RULES_A_PASS):
-        some = by_ids[at : at + RULES_A_PASS]
-        ids = [r.event_ids() for _, r in some]
-        rows = events
-        if all(i is not None for i in ids):
-            rows = rows.where(F.col("event_id").isin(sorted(frozenset().union(*ids))))
-        hits = F.filter(F.array(*(F.when(r.column(), F.lit(i)) for i, r in some)), lambda x: x.isNotNull())
-        found = rows.withColumn("rule_index", F.explode(hits))
-        out = found if out is None else out.unionByName(found)
-    return events.withColumn("rule_index", F.lit(0)).where(F.lit(False)) if out is None else out
+    if not numbered:
+        return events.withColumn("rule_index", F.lit(0)).where(F.lit(False))
+    ids = [r.event_ids() for _, r in numbered]
+    rows = events
+    if all(i is not None for i in ids):
+        rows = rows.where(F.col("event_id").isin(sorted(frozenset().union(*ids))))
+    with taken_out() as columns:
+        arrays = []
+        for at in range(0, len(numbered), RULES_AN_ARRAY):
+            some = numbered[at : at + RULES_AN_ARRAY]
+            arrays.append(F.filter(F.array(*(F.when(r.column(), F.lit(i)) for i, r in some)), lambda x: x.isNotNull()))
+    own = events.columns
+    rows = rows.select(*own, *(raw.alias(name) for name, raw in columns.values()))
+    return rows.select(*own, F.explode(F.concat(*arrays)).alias("rule_index"))
 
 
 def alerts(matches: DataFrame, rules: list[Rule], wanted: list[bool] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.fields import Field, ascii_lower, ascii_lowered, sure
+from ..functions.globs import glob_pattern
 from ..functions.net import in_network, network
 from ..functions.regexes import PatternError, to_java
 
@@ -523,12 +524,13 @@ def selected(
     def one_of(value: str | None, wanted: tuple[str, ...]) -> bool:
         return not wanted or (value is not None and value.lower() in {w.lower() for w in wanted})
 
+    globs = [glob_pattern(e) for e in exclude]
     out = []
     for r in rules:
         ok = one_of(r.status, status) and one_of(r.level, level)
         ok = ok and (not tag or any(one_of(t, tag) for t in r.tags))
         if min_level is not None:
             ok = ok and LEVELS.get((r.level or "").lower(), -1) >= LEVELS[min_level.lower()]
-        ok = ok and not any(glob_matches(e, r.path) or glob_matches(e, r.title) for e in exclude)
+        ok = ok and not any(g.fullmatch(r.path) or g.fullmatch(r.title) for g in globs)
         out.append(ok and r.correlation is None)
     return out

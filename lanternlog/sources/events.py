@@ -3,51 +3,24 @@
 from __future__ import annotations
 
 import os
-import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import unsigned, variant_path
+from ..functions.globs import GlobError, glob_pattern
 
 EXTENSIONS = (".evtx", ".jsonl", ".json", ".parquet")
 
 
-class DiscoveryError(ValueError):
-    pass
+#: How far a value may lie inside objects of #text.
+TEXT_DEPTH = 4
+#: Bits of a record's number that count records of one part of a file; the others are the part's place in the file.
+PART_BITS, PLACE_BITS = 33, 16
 
 
-def glob_pattern(glob: str) -> re.Pattern:
-    """`*` and `?` also match a slash; `[...]` and `{a,b}` as usual."""
-    out, i, depth = [], 0, 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            out.append(".*")
-            while glob.startswith("*", i + 1):
-                i += 1
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            end = glob.find("]", i + 2)
-            if end < 0:
-                raise DiscoveryError(f"bad glob: {glob}")
-            out.append("[" + glob[i + 1 : end].replace("!", "^", 1) + "]" if glob[i + 1] == "!" else glob[i : end + 1])
-            i = end
-        elif c == "{":
-            depth += 1
-            out.append("(?:")
-        elif c == "}" and depth:
-            depth -= 1
-            out.append(")")
-        elif c == "," and depth:
-            out.append("|")
-        else:
-            out.append(re.escape(c))
-        i += 1
-    if depth:
-        raise DiscoveryError(f"bad glob: {glob}")
-    return re.compile("".join(out), re.S)
+class DiscoveryError(ValueError):
+    pass
 
 
 def discover(
@@ -68,13 +41,20 @@ def discover(
             raise DiscoveryError(f"unreadable list: {paths_from}") from e
     if not wanted and not paths_from:
         wanted = ["."]
-    yes, no = [glob_pattern(g) for g in include], [glob_pattern(g) for g in exclude]
+    try:
+        yes, no = [glob_pattern(g) for g in include], [glob_pattern(g) for g in exclude]
+    except GlobError as e:
+        raise DiscoveryError(str(e)) from None
+
+    def unreadable(e: OSError):
+        raise DiscoveryError(f"unreadable folder: {e.filename}")
+
     found = []
     for root in wanted:
         if os.path.isfile(root):
             found.append((root, os.path.dirname(root)))
         elif os.path.isdir(root):
-            for folder, folders, names in os.walk(root):
+            for folder, folders, names in os.walk(root, onerror=unreadable):
                 if not recursive:
                     folders.clear()
                 found += [(os.path.join(folder, n), root) for n in names if n.lower().endswith(extensions)]
@@ -87,14 +67,15 @@ def discover(
 
 
 def _text(*paths: str) -> Column:
-    """The first of the paths whose value is a text or a number, an object standing for its #text."""
-    options = []
-    for p in paths:
-        for q in (p, f"{p}.#text"):
-            kind = F.schema_of_variant(F.try_variant_get("raw", variant_path(q), "variant"))
-            simple = ~kind.rlike(r"\A(ARRAY|OBJECT|VOID|BOOLEAN)")
-            options.append(F.when(simple, F.try_variant_get("raw", variant_path(q), "string")))
-    return F.coalesce(*options)
+    """The first of the paths whose value is a text or a number; an object stands for its #text, and so on inwards."""
+
+    def inner(path: str, depth: int) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("raw", variant_path(path), "variant"))
+        simple = ~kind.rlike(r"\A(ARRAY|OBJECT|VOID|BOOLEAN)")
+        found = F.when(simple, F.try_variant_get("raw", variant_path(path), "string"))
+        return found.when(kind.startswith("OBJECT"), inner(f"{path}.#text", depth - 1)) if depth else found
+
+    return F.coalesce(*(inner(p, TEXT_DEPTH) for p in paths))
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:
@@ -148,10 +129,32 @@ def lifted(line: Column) -> Column:
     )
 
 
+def read_events(spark: SparkSession, inputs: list[tuple[str, str]], **options) -> DataFrame:
+    """Events of inputs of one kind, by the extension: JSON lines (see read_jsonl) or Parquet (see read_parquet)."""
+    kinds = {os.path.splitext(p)[1].lower() for p, _ in inputs}
+    if len(kinds) > 1:
+        raise DiscoveryError(f"inputs of several kinds: {sorted(kinds)}")
+    if kinds == {".parquet"}:
+        return read_parquet(spark, inputs, **options)
+    return read_jsonl(spark, inputs, **options)
+
+
+def read_parquet(spark: SparkSession, inputs: list[tuple[str, str]], column: str = "raw_json") -> DataFrame:
+    """Events of Parquet files with a text column of raw event JSON, in order of path and row."""
+    if not inputs:
+        return read_jsonl(spark, [])
+    rows = spark.read.parquet(*sorted({_uri(p) for p, _ in inputs})).select(
+        F.col(f"`{column}`").alias("raw_json"), _found_at().alias("uri"), F.col("_metadata.row_index").alias("rec_seq")
+    )
+    rows = rows.join(_manifest(spark, inputs), "uri")
+    return with_metadata(rows.where(F.try_parse_json("raw_json").isNotNull()))
+
+
 def read_jsonl(spark: SparkSession, inputs: list[tuple[str, str]], source_records: bool = False, strict: bool = False) -> DataFrame:
     """Events of JSON-lines files, one raw event (or one source record) a line, in order of path and line.
 
-    Lines that are no JSON are left out (strict: they make the query fail); `bad_lines` gives them.
+    Lines that are no JSON are left out (strict: they make the query fail); `bad_lines` gives them. rec_seq orders the
+    lines of a file, with gaps.
     """
     lines = _lines(spark, inputs)
     good = F.try_parse_json("value").isNotNull()
@@ -163,25 +166,46 @@ def read_jsonl(spark: SparkSession, inputs: list[tuple[str, str]], source_record
     return with_metadata(lines.select("file_seq", "rec_seq", "file_path", "collection_root", raw.alias("raw_json")))
 
 
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
+def _found_at() -> Column:
+    """The file that a row is from, spelled as _uri does. Spark encodes the path."""
+    return F.regexp_replace(F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+
+
+def _manifest(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
+    """One row for each input that the caller listed; Spark broadcasts it only while it is small."""
+    return spark.createDataFrame(
+        [(i, _uri(p), p, r) for i, (p, r) in enumerate(inputs)],
+        "file_seq int, uri string, file_path string, collection_root string",
+    )
+
+
 def _lines(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
+    for path, _ in inputs:
+        if path.lower().endswith((".evtx", ".parquet")):
+            raise DiscoveryError(f"no lines of text: {path}" + (" (EVTX can't be decoded here)" if path.lower().endswith(".evtx") else ""))
     if not inputs:
         return spark.createDataFrame([], "file_seq int, rec_seq long, file_path string, collection_root string, value string")
-    manifest = spark.createDataFrame(
-        [(i, "file://" + os.path.abspath(p) if "://" not in p else p, p, r) for i, (p, r) in enumerate(inputs)],
-        "file_seq int, uri string, file_path string, collection_root string",
-    )
-    read = spark.read.text(sorted({m if "://" in m else os.path.abspath(m) for m, _ in inputs})).select(
-        "value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
-    place = F.row_number().over(Window.partitionBy("file_seq").orderBy("block", "at")) - 1
-    return (
-        read.join(F.broadcast(manifest), "uri")  # one row for each input that the caller listed
-        .where(F.trim("value") != "")
-        .withColumn("rec_seq", place.cast("long"))
-        .drop("uri", "block", "at")
+    # A part of a file is read in order by one task, whose rows count up; parts are told apart by where they begin.
+    count = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    part = F.shiftright(F.col("_metadata.file_block_start"), PLACE_BITS)
+    read = spark.read.text(sorted({_uri(p) for p, _ in inputs})).select(
+        "value", _found_at().alias("uri"), (F.shiftleft(part, PART_BITS) + count).alias("rec_seq")
     )
+    return read.where(F.trim("value") != "").join(_manifest(spark, inputs), "uri").drop("uri")
 
 
 def bad_lines(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
     """file_path, error of lines that are no JSON."""
-    return _lines(spark, inputs).where(F.try_parse_json("value").isNull()).select("file_path", F.lit("invalid JSON record").alias("error"))
+    error = F.concat(F.lit("invalid JSON record: "), F.substring("value", 1, 80))
+    return _lines(spark, inputs).where(F.try_parse_json("value").isNull()).select("file_path", error.alias("error"), "file_seq", "rec_seq")
+
+
+def write_errors(spark: SparkSession, inputs: list[tuple[str, str]], path: str) -> int:
+    """The bad lines as JSON lines of file_path and error, in order; how many there are."""
+    from .sinks import write_jsonl
+
+    return write_jsonl(bad_lines(spark, inputs).orderBy("file_seq", "rec_seq").select("file_path", "error"), path)

@@ -1,13 +1,15 @@
-"""Writing results: JSON lines, a JSON array, CSV of projected fields, and pretty records. Rows stream to the driver."""
+"""Writing results: JSON lines, a JSON array, CSV of projected fields, and pretty records.
+
+A single file is written by the driver, to which rows stream; with parts, the executors write a folder of part files.
+"""
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,7 +28,9 @@ def _opened(path: str):
     return open(path, "w", encoding="utf-8", newline="")
 
 
-def write_jsonl(df: DataFrame, path: str) -> int:
+def write_jsonl(df: DataFrame, path: str, parts: bool = False) -> int:
+    if parts:
+        return _written(json_lines(df), path)
     n = 0
     with _opened(path) as f:
         for row in json_lines(df).toLocalIterator():
@@ -50,27 +54,57 @@ def write_json(df: DataFrame, path: str, pretty: bool = False, compact: bool = F
     return n
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str] | None, raw: bool = False) -> int:
-    """The struct column `fields` of a record shape, under a header; there is no guessing of columns."""
+def _written(lines: DataFrame, path: str) -> int:
+    """Write one column of lines as a folder of text files, and count them on the way."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.text(path)
+    return seen.get["n"]
+
+
+def csv_line(values: list[Column]) -> Column:
+    """Texts side by side; one with a comma, a quote or a line end is quoted, a missing one is empty."""
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.when(v.rlike('[,"\r\n]'), quoted(v)).otherwise(F.coalesce(v, F.lit(""))) for v in values]
+    return F.concat_ws(",", *cells)
+
+
+def write_csv(df: DataFrame, path: str, fields: list[str] | None, raw: bool = False, parts: bool = False) -> int:
+    """The struct column `fields` of a record shape, under a header; there is no guessing of columns.
+
+    With parts, the header is a file of its own that sorts first, as part files have none.
+    """
     if raw or not fields:
         raise SinkError("CSV needs fields")
+    spark = df.sparkSession
+    kinds = ", ".join(f"c{i} string" for i in range(len(fields)))
+    cells = [F.col("fields").getField(n) for n in fields]
+    lines = df.select(csv_line(cells).alias("value"))
+    header = spark.createDataFrame([tuple(fields)], kinds)
+    header = header.select(csv_line([F.col(c) for c in header.columns]).alias("value"))
+    if parts:
+        _written(header.coalesce(1), f"{path}/header")
+        return _written(lines, f"{path}/rows")
     n = 0
     with _opened(path) as f:
-        writer = csv.writer(f, lineterminator="\n")
-        writer.writerow(fields)
-        for row in df.select("fields").toLocalIterator():
-            writer.writerow(["" if v is None else v for v in row.fields])
+        f.write(header.first().value + "\n")
+        for row in lines.toLocalIterator():
+            f.write(row.value + "\n")
             n += 1
     return n
 
 
-def dump(df: DataFrame, path: str, form: str = "jsonl", fields: list[str] | None = None, raw: bool = False, pretty: bool = False, compact: bool = False) -> int:
+def dump(df: DataFrame, path: str, form: str = "jsonl", fields: list[str] | None = None, raw: bool = False, pretty: bool = False, compact: bool = False, parts: bool = False) -> int:
+    """Rows written. parts: a folder of part files instead of a single file, for JSON lines and CSV."""
+    if parts and form == "json":
+        raise SinkError("an array is a single file")
     if form == "jsonl":
-        return write_jsonl(df, path)
+        return write_jsonl(df, path, parts)
     if form == "json":
         return write_json(df, path, pretty, compact)
     if form == "csv":
-        return write_csv(df, path, fields, raw)
+        return write_csv(df, path, fields, raw, parts)
     raise SinkError(f"unsupported format {form}")
 
 
