@@ -186,7 +186,7 @@ def correlate(
     key = ["correlation_index", "scope", "groups"]
     reach = max(p[-1] for p in plans.values()) + lateness_us + 1
     alone = bool(max_state) and _crowded(rows, key, reach, max_state)
-    grouped = rows.groupBy(F.lit(0)) if alone else rows.groupBy(*key)
+    grouped = rows.withColumn("all", F.lit(0)).groupBy("all") if alone else rows.groupBy(*key)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_folded(pdf, plans, max_state if alone else 0)), columns=OUT_NAMES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.correlate import correlate
@@ -13,8 +13,27 @@ from .plans.sigma import parse_documents
 CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
-def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as events: metadata columns, and event data with mixed JSON types."""
+def encoded(user: Column) -> dict[str, Column]:
+    """Further event data: an IPv6 address, dashes, encodings of the user, and a JSON null."""
+    name = F.concat(F.lit("u"), user.cast("string"))
+    zeros = F.when(user % 3 == 0, F.unhex(F.lit(""))).when(user % 3 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("0000")))
+    return {
+        "Ipv6": F.concat(F.lit("2001:db8:"), (user % 4).cast("string"), F.lit("::"), F.lower(F.hex(user))),
+        "Dash": F.concat(F.lit("run "), F.when(user % 3 == 0, F.lit("\u2013")).when(user % 3 == 1, F.lit("/")).otherwise(F.lit("+")), F.lit("enc")),
+        "B64": F.base64(name.cast("binary")),
+        "Off": F.base64(F.concat(zeros, name.cast("binary"))),
+        "Wide": F.lower(F.hex(F.encode(name, "UTF-16LE"))),
+        "Big": F.lower(F.hex(F.encode(name, "UTF-16BE"))),
+        "Marked": F.concat(F.lit("fffe"), F.lower(F.hex(F.encode(name, "UTF-16LE")))),
+        "Null": F.when(user % 5 == 0, F.lit("@null")).when(user % 5 == 1, F.lit("v")),
+    }
+
+
+def adapted(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
+    """The events table as events: metadata columns, and event data with mixed JSON types (more: and those of encoded).
+
+    With more, errors are in the channel SECURITY.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     code = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(c)) for t, c in CODES.items())).cast("bigint")
     user = F.col("user_id")
@@ -27,8 +46,13 @@ def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
         (user % 2 == 0).alias("Even"),
         F.when(user % 3 == 0, F.lit("x")).alias("Third"),
         F.struct(F.lit(1).alias("b")).alias("Nested"),
+        *((c.alias(n) for n, c in encoded(user).items()) if more else ()),
     )
     raw_json = F.to_json(F.struct(F.struct(data.alias("EventData")).alias("Event")))
+    channel = F.col("event_type")
+    if more:
+        raw_json = F.replace(raw_json, F.lit('"@null"'), F.lit("null"))
+        channel = F.when(channel == "error", F.lit("SECURITY")).otherwise(channel)
     return events.select(
         F.lit(0).alias("file_seq"),
         F.col("event_id").alias("rec_seq"),
@@ -36,7 +60,7 @@ def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("collection_root"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         F.col("event_id").alias("record_id"),
-        F.col("event_type").alias("channel"),
+        channel.alias("channel"),
         F.lit("app").alias("provider"),
         code.alias("event_id"),
         F.concat(F.lit("host-"), (user % 10).cast("string")).alias("computer"),
@@ -72,8 +96,20 @@ SEARCHES = {
         f"event_type NOT IN ('click', 'error') AND (user_id % 10 = 3 OR {K} < 5)",
     ),
     "present_object": (f'{D}Nested != "x" and not {D}Nested == "x" and event.id == 3', "event_type = 'purchase'"),
+    "regex_posix": (f"{D}Image =~ /u[[:digit:]]{{3}}\\\\[[:alpha:]]+\\.exe$/", "user_id BETWEEN 100 AND 999"),
+    "regex_inline": (f"{D}Image =~ /\\\\u7\\\\(?i)ERROR/", "user_id = 7 AND event_type = 'error'"),
+    "regex_code": (f"{D}Image =~ /\\x{{75}}8\\\\\\pLiew/", "user_id = 8 AND event_type = 'view'"),
+    "not_regex_posix": (f"{D}Image !~ /[[:^alpha:]]u[1-9]/", "user_id = 0"),
+    "bool_order": (f"{D}Even < 5 or {D}Even >= 0 or event.id == 3", "event_type = 'purchase'"),
     "missing_compare": (f"{D}Nope < 5 or {D}Third == \"x\"", "user_id % 3 = 0"),
 }
+# The same over events with the further data.
+SEARCHES_MORE = {
+    "cidr_v6": (f'cidr_contains({D}Ipv6, "2001:db8:2::/48")', "user_id % 4 = 2"),
+    "cidr_v6_host": (f'cidr_contains({D}Ipv6, "2001:db8:1::/120")', "user_id % 4 = 1 AND user_id < 256"),
+    "exists_null": (f"exists({D}Null)", "user_id % 5 IN (0, 1)"),
+    "neq_null": (f'{D}Null != "v"', "user_id % 5 = 0"),
+}
 # Detection items of one rule each, and the condition that says the same.
 DETECTIONS = {
     "eq_ci": ("sel: {Image: 'C:\\USERS\\U7\\ERROR.EXE'}, condition: sel", "user_id = 7 AND event_type = 'error'"),
@@ -81,7 +117,7 @@ DETECTIONS = {
     "contains_all": ("sel: {'Image|contains|all': [U1, view]}, condition: sel", "CAST(user_id AS VARCHAR) LIKE '1%' AND event_type = 'view'"),
     "startswith": ("sel: {'CommandLine|startswith': ERR}, condition: sel", "event_type = 'error'"),
     "endswith": ("sel: {'Image|endswith': VIEW.EXE}, condition: sel", "event_type = 'view'"),
-    "cased": ("sel: {'Image|endswith|cased': VIEW.EXE}, condition: sel", "false"),
+    "cased": ("sel: {'Image|endswith|cased': [VIEW.EXE, click.exe]}, condition: sel", "event_type = 'click'"),
     "null_value": ("sel: {Third: null}, condition: sel", "user_id % 3 <> 0"),
     "exists": ("sel: {'Third|exists': false}, condition: sel", "user_id % 3 <> 0"),
     "neq": ("sel: {'User|neq': 7}, condition: sel", "user_id <> 7"),
@@ -91,8 +127,13 @@ DETECTIONS = {
     "fieldref": ("sel: {'User|fieldref': k}, condition: sel", f"user_id = {K}"),
     "hour": ("sel: {'timestamp.x|exists': false, 'event.timestamp|hour': 5}, condition: sel", "hour(ts) = 5"),
     "week": ("sel: {'event.timestamp|week': 3}, condition: sel", "week(ts) = 3"),
-    "windash": ("sel: {'CommandLine|windash|contains': ' /enc -x'}, condition: sel", "true"),
-    "base64": ("sel: {'User|base64|contains': x}, condition: sel", "false"),
+    "minute": ("sel: {'event.timestamp|minute': 5}, condition: sel", "minute(ts) = 5"),
+    "day": ("sel: {'event.timestamp|day': [3, 17]}, condition: sel", "day(ts) IN (3, 17)"),
+    "month": ("sel: {'event.timestamp|month': 1, k: 7}, condition: sel", f"month(ts) = 1 AND {K} = 7"),
+    "year": ("sel: {'event.timestamp|year': 2024, k: 8}, condition: sel", f"year(ts) = 2024 AND {K} = 8"),
+    "regex_flags": ("sel: {'CommandLine|re|i|m|s': '^ERROR.-ENC'}, condition: sel", "event_type = 'error'"),
+    "fieldref_neq": ("sel: {'User|fieldref|neq': k, EventID: 2}, condition: sel", f"event_type = 'error' AND user_id <> {K}"),
+    "keyword_cased": ("words: {'|cased': [Error.exe, click.exe]}, condition: words", "event_type = 'click'"),
     "keyword": ("words: ['\\\\u7\\\\', purchase.exe], condition: words", "user_id = 7 OR event_type = 'purchase'"),
     "keyword_all": ("words: {'|all': [U9, Signup]}, condition: words", "event_type = 'signup' AND CAST(user_id AS VARCHAR) LIKE '9%'"),
     "one_of": ("s_a: {EventID: 1}, s_b: {EventID: 4}, other: {EventID: 5}, condition: 1 of s_*", "event_type IN ('click', 'signup')"),
@@ -100,15 +141,37 @@ DETECTIONS = {
     "not_list": ("a: {EventID: [1, 2]}, b: [{k: 3}, {k: 4}], condition: [b and not a, 'a and b']", f"{K} IN (3, 4)"),
 }
 
+WIDE = "regexp_replace(CAST(user_id AS VARCHAR), '([0-9])', '3\\1', 'g')"
+OFF = """to_base64(CASE user_id % 3 WHEN 0 THEN ''::BLOB WHEN 1 THEN '\\x00'::BLOB ELSE '\\x00\\x00'::BLOB END
+  || encode('u' || CAST(user_id AS VARCHAR)))"""
+DETECTIONS_MORE = {
+    "windash": ("sel: {'Dash|windash|endswith': ' -ENC'}, condition: sel", "user_id % 3 <> 2"),
+    "windash_eq": ("sel: {'Dash|windash': 'run -e?c'}, condition: sel", "user_id % 3 <> 2"),
+    "base64": ("sel: {'B64|base64': [u7, u15]}, condition: sel", "user_id IN (7, 15)"),
+    "base64offset": (
+        "sel: {'Off|base64offset|contains|cased': u7}, condition: sel",
+        f"contains({OFF}, 'dTc=') OR contains({OFF}, 'AHU3') OR contains({OFF}, 'AAB1Nw==')",
+    ),
+    "utf16le": ("sel: {'Wide|utf16le': u77}, condition: sel", "user_id = 77"),
+    "wide": ("sel: {'Wide|wide|startswith': u8}, condition: sel", "CAST(user_id AS VARCHAR) LIKE '8%'"),
+    "utf16be": ("sel: {'Big|utf16be|startswith': u9}, condition: sel", "CAST(user_id AS VARCHAR) LIKE '9%'"),
+    "utf16": ("sel: {'Marked|utf16': [u3, u4]}, condition: sel", "user_id IN (3, 4)"),
+    "json_null": ("sel: {'Null': null}, condition: sel", "user_id % 5 <> 1"),
+    "json_null_exists": ("sel: {'Null|exists': true}, condition: sel", "user_id % 5 IN (0, 1)"),
+    "cidr_v6": ("sel: {'Ipv6|cidr': '2001:db8:3::/64'}, condition: sel", "user_id % 4 = 3"),
+    "logsource": ("sel: {'k|lt': 50}, condition: sel}\nlogsource: {product: windows, service: security", f"event_type = 'error' AND {K} < 50"),
+    "logsource_other": ("sel: {'k|lt': 50}, condition: sel}\nlogsource: {product: linux, service: security", f"{K} < 50"),
+}
+
 
-def _search(text: str):
-    return lambda spark, sf_dir: matching(adapted(spark, sf_dir), text).select("record_id", "computer")
+def _search(text: str, more: bool = False):
+    return lambda spark, sf_dir: matching(adapted(spark, sf_dir, more), text).select("record_id", "computer")
 
 
-def _detect(items: str):
+def _detect(items: str, more: bool = False):
     def run(spark, sf_dir):
         rules = parse_documents(f"title: t\ndetection: {{{items}}}\n")
-        return rule_matches(adapted(spark, sf_dir), rules).select("record_id", "computer")
+        return rule_matches(adapted(spark, sf_dir, more), rules).select("record_id", "computer")
 
     return run
 
@@ -176,6 +239,57 @@ def hunt_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("scope").alias("host"), F.col("groups")[0].alias("user"), "time_us", "window_start_us", F.size("seqs").cast("long").alias("n"))
 
 
+TEMPORAL = """
+title: Errors and purchases
+level: high
+correlation: {type: temporal, rules: [errors, buys], group-by: [User], timespan: 6h}
+"""
+ORDERED = TEMPORAL.replace("temporal,", "temporal_ordered,")
+VALUES = """
+title: Errors of several kinds
+correlation: {type: value_count, rules: [errors], group-by: [User], timespan: 1d, condition: {gt: 2, field: k}}
+"""
+BURST = """
+title: Many large ones
+correlation: {type: event_count, rules: [large], timespan: 3h, condition: {gte: 5}}
+"""
+
+
+def _correlated(document: str, scope: str = "host"):
+    """The base rules with one correlation."""
+
+    def run(spark, sf_dir):
+        rules = parse_documents("---".join(RULES.split("---")[:3]) + "---" + document)
+        out = correlate(rule_matches(adapted(spark, sf_dir), rules), rules, scope)
+        n = F.size("entries").cast("long").alias("n")
+        return out.select(F.col("scope").alias("host"), F.get("groups", F.lit(0)).alias("user"), "time_us", "window_start_us", n)
+
+    return run
+
+
+def _correlated_sql(where: str, key: str, span_us: int, holds: str, host: str = "a.host", user: str = "a.u") -> str:
+    return f"""
+WITH e AS (
+  SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS u, 'host-' || CAST(user_id % 10 AS VARCHAR) AS host, epoch_us(ts) AS t,
+    event_type AS kind, {K} AS k
+  FROM events WHERE {where}
+), marked AS (
+  SELECT *, max(t) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - 120000000 AS wm FROM e
+), fed AS (SELECT * FROM marked WHERE t >= wm),
+windows AS (
+  SELECT a.seq, {host} AS host, {user} AS u, a.t, count(*) AS n, min(b.t) AS first, {holds} AS holds
+  FROM fed a JOIN fed b ON {key} AND b.seq <= a.seq AND b.t >= a.wm - {span_us}
+  GROUP BY ALL
+), told AS (SELECT *, lag(holds) OVER (PARTITION BY host, u ORDER BY seq) AS before FROM windows)
+SELECT host, u AS "user", t AS time_us, first AS window_start_us, CAST(n AS BIGINT) AS n
+FROM told WHERE holds AND NOT coalesce(before, false)
+"""
+
+
+def limit_before_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(adapted(spark, sf_dir), f"{D}k >= 50 | summarize n=count() by channel", limit=100)
+
+
 def keep_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search(adapted(spark, sf_dir), f"event.id == 4 | keep {D}User, {D}k, {D}Third, {D}Nested")
     f = F.col("fields")
@@ -205,7 +319,9 @@ FROM told WHERE n >= 3 AND (before IS NULL OR before < 3)
 """
 
 QUERIES = {f"search_{n}": _search(text) for n, (text, _) in SEARCHES.items()}
+QUERIES |= {f"search_{n}": _search(text, True) for n, (text, _) in SEARCHES_MORE.items()}
 QUERIES |= {f"rule_{n}": _detect(items) for n, (items, _) in DETECTIONS.items()}
+QUERIES |= {f"rule_{n}": _detect(items, True) for n, (items, _) in DETECTIONS_MORE.items()}
 QUERIES |= {
     "flagship": flagship,
     "keep_projection": keep_projection,
@@ -218,11 +334,23 @@ QUERIES |= {
     "summarize_global_empty": _summary("event.id == 99 | summarize count()"),
     "hunt_alerts": hunt_alerts,
     "hunt_correlation": hunt_correlation,
+    "hunt_temporal": _correlated(TEMPORAL),
+    "hunt_temporal_ordered": _correlated(ORDERED),
+    "hunt_value_count": _correlated(VALUES),
+    "hunt_global_count": _correlated(BURST, "global"),
+    "hunt_file_count": _correlated(BURST, "file"),
+    "limit_before_summarize": limit_before_summarize,
+    "summarize_large_set": _summary(f"event.id == 2 | summarize s=make_set({D}k, 1000001) by computer", s="join"),
+    "summarize_set_of_none": _summary(f"event.id == 2 | summarize s=make_set({D}k, 0), n=count() by computer", s="join"),
 }
 
+HOUR = 3_600_000_000
+BOTH = "event_type = 'error' OR (event_type = 'purchase' AND user_id % 2 = 0)"
+SAME = "a.u = b.u AND a.host = b.host"
 HOST = "'host-' || CAST(user_id % 10 AS VARCHAR)"
 ORACLE_SQL = {f"search_{n}": _where(c) for n, (_, c) in SEARCHES.items()}
-ORACLE_SQL |= {f"rule_{n}": _where(c) for n, (_, c) in DETECTIONS.items()}
+ORACLE_SQL |= {f"search_{n}": _where(c) for n, (_, c) in SEARCHES_MORE.items()}
+ORACLE_SQL |= {f"rule_{n}": _where(c) for n, (_, c) in [*DETECTIONS.items(), *DETECTIONS_MORE.items()]}
 ORACLE_SQL |= {
     "flagship": f"""SELECT {HOST} AS host, event_type AS type,
   array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR))), ',') AS users, count(*) AS total
@@ -247,4 +375,20 @@ ORACLE_SQL |= {
   UNION ALL SELECT 'r2', 'low', event_id FROM events WHERE {K} >= 95
   UNION ALL SELECT 'r3', 'medium', event_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0""",
     "hunt_correlation": CORRELATION_SQL,
+    "hunt_temporal": _correlated_sql(BOTH, SAME, 6 * HOUR, "count(DISTINCT b.kind) = 2"),
+    "hunt_temporal_ordered": _correlated_sql(
+        BOTH,
+        SAME,
+        6 * HOUR,
+        """coalesce(min(CASE WHEN b.kind = 'error' THEN {'t': b.t, 's': b.seq} END)
+    < max(CASE WHEN b.kind = 'purchase' THEN {'t': b.t, 's': b.seq} END), false)""",
+    ),
+    "hunt_value_count": _correlated_sql("event_type = 'error'", SAME, 24 * HOUR, "count(DISTINCT b.k) > 2"),
+    "hunt_global_count": _correlated_sql(f"{K} >= 95", "true", 3 * HOUR, "count(*) >= 5", "''", "CAST(NULL AS VARCHAR)"),
+    "hunt_file_count": _correlated_sql(f"{K} >= 95", "true", 3 * HOUR, "count(*) >= 5", "'events'", "CAST(NULL AS VARCHAR)"),
+    "limit_before_summarize": f"""WITH f AS (SELECT event_type FROM events WHERE {K} >= 50 ORDER BY event_id LIMIT 100)
+  SELECT event_type AS channel, count(*) AS n FROM f GROUP BY 1""",
+    "summarize_large_set": f"""SELECT {HOST} AS computer, array_to_string(list_sort(list(DISTINCT CAST({K} AS VARCHAR))), ',') AS s
+  FROM events WHERE event_type = 'error' GROUP BY 1""",
+    "summarize_set_of_none": f"SELECT {HOST} AS computer, '' AS s, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
 }
