@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The names under which each normalised column is known.
@@ -51,11 +52,15 @@ def unsigned(text: Column) -> Column:
 
 
 _TAKEN: ContextVar[dict | None] = ContextVar("_TAKEN", default=None)
+LEVELS = 5
 
 
 @contextmanager
 def taken_out():
-    """Fields made inside read columns instead of the event: {path: (column name, what the column must hold)}."""
+    """Fields used inside read columns that hold what they need once for all: {key: (column, what it holds, level)}.
+
+    A column is made of the event's own and of those of lower levels, which are below LEVELS.
+    """
     columns: dict[str, tuple] = {}
     token = _TAKEN.set(columns)
     try:
@@ -64,6 +69,22 @@ def taken_out():
         _TAKEN.reset(token)
 
 
+def with_taken(events: DataFrame, columns: dict[str, tuple]) -> DataFrame:
+    for level in range(LEVELS):
+        events = events.select("*", *(made.alias(name) for name, made, at in columns.values() if at == level))
+    return events
+
+
+def _once(key: str, level: int, make: Callable[[], Column]) -> Column:
+    columns = _TAKEN.get()
+    if columns is None:
+        return make()
+    if key not in columns:
+        made = make()
+        columns[key] = (f"__field_{len(columns)}", made, level)
+    return F.col(columns[key][0])
+
+
 @dataclass(frozen=True)
 class Field:
     """A field by its name. Missing and JSON null differ: null is present, but has neither text nor number."""
@@ -74,26 +95,21 @@ class Field:
     def alias(self) -> str | None:
         return ALIASES.get(self.name)
 
-    @cached_property
+    @property
     def raw(self) -> Column:
         found = F.try_variant_get(F.col("raw"), variant_path(self.name), "variant")
-        columns = _TAKEN.get()
-        if columns is None:
-            return found
-        return F.col(columns.setdefault(self.name, (f"__field_{len(columns)}", found))[0])
+        return _once(f"raw {self.name}", 0, lambda: found)
 
-    @cached_property
+    @property
     def kind(self) -> Column:
-        return F.schema_of_variant(self.raw)
+        return _once(f"kind {self.name}", 1, lambda: F.schema_of_variant(self.raw))
 
     def _raw_text(self) -> Column:
-        text = F.try_variant_get(self.raw, "$", "string")
-        return F.when(~(self.kind.startswith("ARRAY") | self.kind.startswith("OBJECT") | (self.kind == "VOID")), text)
+        def make() -> Column:
+            text = F.try_variant_get(self.raw, "$", "string")
+            return F.when(~(self.kind.startswith("ARRAY") | self.kind.startswith("OBJECT") | (self.kind == "VOID")), text)
 
-    def _raw_number(self) -> Column:
-        # A JSON number must be a whole one by its type; a string must spell one.
-        whole = (self.kind == "BIGINT") | self.kind.rlike(r"\ADECIMAL\([0-9]+,0\)\z") | (self.kind == "STRING")
-        return F.when(whole, unsigned(self._raw_text()))
+        return _once(f"raw text {self.name}", 2, make)
 
     @property
     def present(self) -> Column:
@@ -102,22 +118,36 @@ class Field:
 
     @property
     def text(self) -> Column:
-        own = self._raw_text()
-        return F.coalesce(F.col(self.alias).cast("string"), own) if self.alias else own
+        if not self.alias:
+            return self._raw_text()
+        return _once(f"text {self.name}", 3, lambda: F.coalesce(F.col(self.alias).cast("string"), self._raw_text()))
+
+    @property
+    def lower(self) -> Column:
+        """The text with A to Z in lower case."""
+        return _once(f"lower {self.name}", 4, lambda: ascii_lower(self.text))
 
     @property
     def number(self) -> Column:
-        own = self._raw_number()
-        if not self.alias:
-            return own
-        first = F.col(self.alias)
-        first_number = first.cast("decimal(20,0)") if self.alias in NUMERIC else unsigned(first)
-        return F.when(first.isNotNull(), first_number).otherwise(own)
+        def make() -> Column:
+            # A JSON number must be a whole one by its type; a string must spell one.
+            whole = (self.kind == "BIGINT") | self.kind.rlike(r"\ADECIMAL\([0-9]+,0\)\z") | (self.kind == "STRING")
+            own = F.when(whole, unsigned(self._raw_text()))
+            if not self.alias:
+                return own
+            first = F.col(self.alias)
+            first_number = first.cast("decimal(20,0)") if self.alias in NUMERIC else unsigned(first)
+            return F.when(first.isNotNull(), first_number).otherwise(own)
+
+        return _once(f"number {self.name}", 3, make)
 
     @property
     def boolean(self) -> Column:
-        own = F.when(self.kind == "BOOLEAN", F.try_variant_get(self.raw, "$", "boolean"))
-        return F.when(F.col(self.alias).isNull(), own) if self.alias else own
+        def make() -> Column:
+            own = F.when(self.kind == "BOOLEAN", F.try_variant_get(self.raw, "$", "boolean"))
+            return F.when(F.col(self.alias).isNull(), own) if self.alias else own
+
+        return _once(f"boolean {self.name}", 2, make)
 
     @property
     def is_null(self) -> Column:

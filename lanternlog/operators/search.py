@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import Field, taken_out
+from ..functions.fields import Field, taken_out, with_taken
 from ..plans.sigma import Rule
 from ..plans.stql import Query, Summarize, condition, parse
 
@@ -18,9 +19,22 @@ SPREAD = 16
 RULES_AN_ARRAY = 64
 
 
+def with_hits(events: DataFrame, hits: Callable[[], Column], name: str) -> DataFrame:
+    """A row of an event for every element of the array that hits() makes of its fields, with that element.
+
+    The optimizer puts a filter below the projection that parses events, and so parses them anew for each field that
+    the filter names. Here fields are taken out once, in a projection of their own, and hits are generated from them;
+    a generator that keeps empty rows is the one that no filter is made from.
+    """
+    with taken_out() as columns:
+        found = hits()
+    own = events.columns
+    return with_taken(events, columns).select(*own, F.explode_outer(found).alias(name)).where(F.col(name).isNotNull())
+
+
 def matching(events: DataFrame, query: str | Query) -> DataFrame:
     query = parse(query) if isinstance(query, str) else query
-    return events.where(condition(query.filter))
+    return with_hits(events, lambda: F.when(condition(query.filter), F.array(F.lit(True))), "__hit").drop("__hit")
 
 
 def projected(names: list[str]) -> Column:
@@ -106,14 +120,15 @@ def rule_matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = events
     if all(i is not None for i in ids):
         rows = rows.where(F.col("event_id").isin(sorted(frozenset().union(*ids))))
-    with taken_out() as columns:
+
+    def hits() -> Column:
         arrays = []
         for at in range(0, len(numbered), RULES_AN_ARRAY):
             some = numbered[at : at + RULES_AN_ARRAY]
             arrays.append(F.filter(F.array(*(F.when(r.column(), F.lit(i)) for i, r in some)), lambda x: x.isNotNull()))
-    own = events.columns
-    rows = rows.select(*own, *(raw.alias(name) for name, raw in columns.values()))
-    return rows.select(*own, F.explode(F.concat(*arrays)).alias("rule_index"))
+        return F.concat(*arrays)
+
+    return with_hits(rows, hits, "rule_index")
 
 
 def alerts(matches: DataFrame, rules: list[Rule], wanted: list[bool] | None = None) -> DataFrame:

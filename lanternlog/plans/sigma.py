@@ -105,7 +105,7 @@ class Predicate:
         joined = all_of(tests) if self.every else any_of(tests)
         return joined
 
-    def text_test(self, text: Column, value: str) -> Column:
+    def text_test(self, f: Field, value: str) -> Column:
         if self.windash:
             inner = dash_pattern(value)
             if self.op == "eq" and ("*" in value or "?" in value):
@@ -113,9 +113,9 @@ class Predicate:
             around = {"eq": (r"\A", r"\z"), "contains": ("", ""), "startswith": (r"\A", ""), "endswith": ("", r"\z")}
             a, b = around[self.op]
             # Without the Unicode flag, case folding is that of ASCII.
-            return text.rlike(f"(?s{'' if self.cased else 'i'}){a}{inner}{b}")
-        if not self.cased:
-            text, value = ascii_lower(text), ascii_lowered(value)
+            return f.text.rlike(f"(?s{'' if self.cased else 'i'}){a}{inner}{b}")
+        text = f.text if self.cased else f.lower
+        value = value if self.cased else ascii_lowered(value)
         if self.op == "eq":
             if "*" in value or "?" in value:
                 return text.rlike("(?s)" + wildcard_pattern(value))
@@ -134,7 +134,7 @@ class Predicate:
         if self.op == "fieldref":
             other = Field(field_path(value))
             numbers = f.number.isNotNull() & other.number.isNotNull()
-            texts = (f.text == other.text) if self.cased else (ascii_lower(f.text) == ascii_lower(other.text))
+            texts = (f.text == other.text) if self.cased else (f.lower == other.lower)
             same = sure(F.when(numbers, f.number == other.number).otherwise(texts))
             return (f.present & other.present & ~same) if self.negated else same
         if self.op in ("minute", "hour", "day", "week", "month", "year"):
@@ -146,7 +146,7 @@ class Predicate:
         elif isinstance(value, int):
             same = sure(f.number == F.lit(str(value)).cast("decimal(20,0)")) if self.op == "eq" else F.lit(False)
         else:
-            same = sure(self.text_test(f.text, value))
+            same = sure(self.text_test(f, value))
         return self._negate(f, same)
 
     def _negate(self, f: Field, same: Column) -> Column:
