@@ -696,3 +696,28 @@ def test_stages_keep_columns_of_any_name(spark, rows):
     kept = out.select(*names).distinct().collect()
     assert [tuple(r) for r in kept] == [tuple(names)]
     assert corpus_pipeline.STAGES[-1][1](spark, out, None).count() > 0
+
+
+def test_shards_against_brute_force(docs, rows):
+    """A row's shard is the equal share of all bytes in which its middle lies; slots count up in each shard."""
+    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+    keys = sorted((i is not None, i or 0, len(t) + 1, zlib.crc32(t)) for i, t in texts)
+    total, at, slots, wanted = sum(k[2] for k in keys), 0, collections.Counter(), []
+    for some, doc_id, size, crc in keys:
+        shard = min(7, (2 * at + size) * 8 // (2 * total))
+        wanted.append((doc_id if some else None, size, crc, "bytes", shard, slots[shard], None))
+        at += size
+        slots[shard] += 1
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = [tuple(r) for r in sharding.shard_by_bytes(docs).select(*columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+
+
+def test_gif_feature_against_brute_force(docs, rows):
+    """Samples are grey, so each channel has the payload's bytes in sixteen classes."""
+    wanted = []
+    for r in rows:
+        counts = np.bincount(np.frombuffer(gif.padded(r[1] or "")[0], np.uint8) >> 4, minlength=16)
+        wanted.append((r[0], ";".join(f"{c}:" + ",".join(map(str, counts.tolist())) for c in "rgb")))
+    got = [(r.doc_id, r.feature) for r in gif.read_back(gif.store(docs)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
