@@ -2,7 +2,7 @@
 
 The only step that depends on the order of all matches is the watermark, the greatest time so far less the allowed
 lateness; it comes from running maxima inside stretches of a file and over the stretches' own maxima. After that every
-state key is folded by itself, in its own task. Keys evict each other only where more of them than max_state could be
+state key is folded by itself, many of them in a task. Keys evict each other only where more of them than max_state could be
 alive at once, which counts of keys by time tell; then one ordered fold goes through all.
 """
 
@@ -21,6 +21,8 @@ from ..plans.sigma import COUNT_OPS, Rule, field_path
 
 LATENESS_US = 120_000_000
 MAX_STATE = 100_000
+#: Matches that are folded in one task, about, and the fewest tasks.
+LANE_ROWS, LANES = 50_000, 16
 #: Records of a file, in a power of two, whose running maximum is taken in one go.
 STRETCH = 18
 ENTRY = "struct<file_path: string, file_seq: int, rec_seq: long, rule_index: int, time_us: long, fields: array<string>>"
@@ -141,19 +143,21 @@ def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str, event_fiel
     )
 
 
-def _crowded(rows: DataFrame, key: list[str], reach_us: int, max_state: int) -> bool:
-    """Whether more than max_state keys could be alive at once.
+def _measured(rows: DataFrame, key: list[str], reach_us: int) -> tuple[int, int]:
+    """An upper bound of the keys that are alive at once, and the number of rows.
 
     Live keys have a match within reach_us before the greatest time so far, so in two neighbouring stretches of time of
     that length; the keys of these are counted.
     """
     stretch = F.floor(F.col("time_us") / reach_us)
-    keys = rows.select(*key, stretch.alias("stretch")).distinct()
-    both = keys.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select(
-        F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("stretch"), "n"
-    )
-    most = both.groupBy("stretch").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) > max_state
+    keys = rows.groupBy(*key, stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("rows"))
+    own = keys.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    here = F.struct(F.col("stretch").alias("stretch"), F.col("rows").alias("rows"))
+    after = F.struct((F.col("stretch") + 1).alias("stretch"), F.lit(0).cast("long").alias("rows"))
+    both = own.select(F.explode(F.array(here, after)).alias("at"), "n")
+    sums = both.groupBy("at.stretch").agg(F.sum("n").alias("n"), F.sum("at.rows").alias("rows"))
+    most, total = sums.agg(F.max("n"), F.sum("rows")).first()
+    return most or 0, total or 0
 
 
 def correlate(
@@ -185,8 +189,11 @@ def correlate(
     }
     key = ["correlation_index", "scope", "groups"]
     reach = max(p[-1] for p in plans.values()) + lateness_us + 1
-    alone = bool(max_state) and _crowded(rows, key, reach, max_state)
-    grouped = rows.withColumn("all", F.lit(0)).groupBy("all") if alone else rows.groupBy(*key)
+    most, total = _measured(rows, key, reach)
+    alone = bool(max_state) and most > max_state
+    # Without mutual eviction keys don't depend on each other; many small ones share a task.
+    lane = F.lit(0) if alone else F.pmod(F.xxhash64(*key), F.lit(max(LANES, -(-total // LANE_ROWS))))
+    grouped = rows.withColumn("lane", lane).groupBy("lane")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_folded(pdf, plans, max_state if alone else 0)), columns=OUT_NAMES)
