@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import spaced
+from .pretokens import common_mark, spaced
 from .shared import doc_batches, documents, read_table, shuffle_partitions, tokenizer_path, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,11 +57,12 @@ class WordIds:
         self.special = {t.content: pack_ids([i]) for i, t in added.items()}
         parts = sorted(self.special, key=len, reverse=True)
         self.find = re.compile("(" + "|".join(map(re.escape, parts)) + ")") if parts else None
+        self.mark = common_mark(parts)
         self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.ids: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        if self.find is None or "<" not in text:
+        if self.find is None or self.mark not in text:
             return spaced(text)
         out: list[str] = []
         for k, part in enumerate(self.find.split(text)):

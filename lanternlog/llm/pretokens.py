@@ -64,3 +64,12 @@ def spaced(text: str) -> list[str]:
 def words(text: str) -> list[str]:
     """The matches without white space, of a text that is normalised already."""
     return (WORD_NARROW if is_narrow(text) else wide_patterns()[1]).findall(text)
+
+
+def common_mark(strings: list[str]) -> str:
+    """A character that all of the strings have, best no letter or digit: a text without it has none of them.
+
+    Without such a character, the empty string, which every text has.
+    """
+    shared = set.intersection(*map(set, strings)) if strings else set()
+    return min(shared, key=lambda c: (c.isalnum(), c), default="")

@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import is_narrow, words
+from .pretokens import common_mark, is_narrow, words
 from .shared import doc_batches, documents, read_table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,12 +43,13 @@ class PieceTable:
         self.normalise = self.tokenizer.normalizer.normalize_str
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.mark = common_mark(special)
         self.pieces: dict[str, int] = {}
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """The text's pre-tokens, and how many special strings stand in it (one token each)."""
         parts, found = [text], 0
-        if self.special and "<" in text:
+        if self.special and self.mark in text:
             parts = self.special.split(text)
             found = len(parts) - 1
         out: list[str] = []

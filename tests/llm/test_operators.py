@@ -721,3 +721,9 @@ def test_gif_feature_against_brute_force(docs, rows):
         wanted.append((r[0], ";".join(f"{c}:" + ",".join(map(str, counts.tolist())) for c in "rgb")))
     got = [(r.doc_id, r.feature) for r in gif.read_back(gif.store(docs)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+
+
+def test_common_mark():
+    from lanternlog.llm.pretokens import common_mark
+
+    assert common_mark(["<|a|>", "<b>"]) == "<" and common_mark(["ab", "b"]) == "b" and common_mark(["a", "b"]) == common_mark([]) == ""
