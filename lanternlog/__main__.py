@@ -123,8 +123,6 @@ def run_hunt(spark: SparkSession, a, inputs) -> None:
 
 
 def read(spark: SparkSession, a, inputs) -> DataFrame:
-    if any(p.lower().endswith(".parquet") for p, _ in inputs):
-        return read_events(spark, inputs)
     return read_events(spark, inputs, source_records=a.source_records, strict=a.strict)
 
 

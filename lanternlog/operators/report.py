@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sigma import Rule
 from ..plans.stql import condition, parse
-from ..sources.events import _lines, bad_lines, lifted, with_metadata
+from ..sources.events import bad_lines, records_and_errors, with_metadata
 from .search import rule_matches
 
 #: Errors of a run that are shown.
@@ -34,11 +34,8 @@ class Stats:
 
 
 def _counted(spark: SparkSession, inputs: list[tuple[str, str]], matched, source_records: bool) -> tuple[int, int, int]:
-    """Records, matches and lines that are no JSON, in one scan."""
-    raw = lifted(F.col("value")) if source_records else F.col("value")
-    good = F.try_parse_json("value").isNotNull()
-    lines = _lines(spark, inputs).select("file_seq", "rec_seq", "file_path", "collection_root", F.when(good, raw).alias("raw_json"))
-    events = with_metadata(lines)
+    """Records, matches and what is no record, in one scan."""
+    events = with_metadata(records_and_errors(spark, inputs, source_records))
     found = F.col("raw_json").isNotNull()
     row = events.agg(
         F.count_if(found).alias("scanned"),
