@@ -18,7 +18,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
 BLOCK_BYTES = 8 << 20
-TABLE_ENTRIES = 400_000
+#: Words whose ids a worker holds, besides those of one block, and words that the library encodes in one call.
+TABLE_ENTRIES = 600_000
+CALL_WORDS = 2000
 #: About as many pieces share one group of islands; groups are drawn by hash, so they look alike.
 GROUP_PIECES = 4096
 ISLANDS = 4
@@ -70,12 +72,12 @@ class WordIds:
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > TABLE_ENTRIES:
-            self.ids.clear()
+        if len(self.ids) > TABLE_ENTRIES:  # what this block has stays, as the next one is likely to have most of it
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
         self.ids.update(self.special)
         new = [w for w in words if w not in self.ids]
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), CALL_WORDS):
+            some = new[at : at + CALL_WORDS]
             for w, e in zip(some, self.alone.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.ids[w] = pack_ids(e.ids)
 
