@@ -18,12 +18,14 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
 BLOCK_BYTES = 8 << 20
-#: Words whose ids a worker holds, besides those of one block, and words that the library encodes in one call.
-TABLE_ENTRIES = 600_000
+#: A worker holds the ids of up to twice as many words besides those of one text; the library encodes so many in one call.
+TABLE_ENTRIES = 300_000
 CALL_WORDS = 2000
 #: About as many pieces share one group of islands; groups are drawn by hash, so they look alike.
 GROUP_PIECES = 4096
 ISLANDS = 4
+#: The most islands in a task, on average.
+TASK_ISLANDS = 1000
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 4
@@ -61,7 +63,8 @@ class WordIds:
         self.find = re.compile("(" + "|".join(map(re.escape, parts)) + ")") if parts else None
         self.mark = common_mark(parts)
         self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = dict(self.special)
+        self.before: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.find is None or self.mark not in text:
@@ -71,15 +74,22 @@ class WordIds:
             out += [part] if k % 2 else spaced(part)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.ids) > TABLE_ENTRIES:  # what this block has stays, as the next one is likely to have most of it
-            self.ids = {w: self.ids[w] for w in words if w in self.ids}
-        self.ids.update(self.special)
-        new = [w for w in words if w not in self.ids]
+    def encode(self, text: str) -> bytes:
+        """All ids of a text. Words that are not used any more go from the table in the end."""
+        words = self.split(text)
+        if len(self.ids) > TABLE_ENTRIES:
+            self.before, self.ids = self.ids, dict(self.special)
+        new = []
+        for w in set(words).difference(self.ids):
+            if w in self.before:
+                self.ids[w] = self.before[w]
+            else:
+                new.append(w)
         for at in range(0, len(new), CALL_WORDS):
             some = new[at : at + CALL_WORDS]
             for w, e in zip(some, self.alone.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.ids[w] = pack_ids(e.ids)
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 def word_ids(path: str) -> WordIds:
@@ -107,17 +117,14 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
         uid = TaskContext.get().partitionId() << 40
         table, last = word_ids(path), pack_ids([end])
         for ids, texts in doc_batches(batches, BLOCK_BYTES):
-            found = [table.split(t) for t in texts]
-            table.learn(set().union(*found))
             rows = []
-            for doc_id, words in zip(ids, found, strict=True):
-                data = b"".join(map(table.ids.__getitem__, words)) + last
+            for doc_id, text in zip(ids, texts, strict=True):
+                data = table.encode(text) + last
                 start = 0
                 for k, n in enumerate(cut(len(data) // 4, capacity)):
                     rows.append((uid, doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
                     start += n
                     uid += 1
-            del found
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, schema=PIECES)
 
@@ -234,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces that fill a sequence get one of their own. The others are dealt by hash into groups of about
     GROUP_PIECES, as many groups as their number asks for. Every group is packed on ISLANDS islands, each a row
-    that evolves in a task of its own; after an epoch an island's elite goes on to the next island of its ring,
+    that evolves by itself, a few in a task; after an epoch an island's elite goes on to the next island of its ring,
     where it joins the population. The best island's packing counts. A group's rows are bounded, whatever the input.
     """
     full = F.col("length") == capacity
@@ -244,7 +251,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     held = written(
         rest.groupBy(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("group")).agg(packed_rows.alias("rows")), "pack-groups"
     )
-    tasks = max(1, min(groups * ISLANDS, 4 * shuffle_partitions(pieces.sparkSession)))
+    shared_out = min(groups * ISLANDS, shuffle_partitions(pieces.sparkSession))
+    tasks = max(shared_out, -(-groups * ISLANDS // TASK_ISLANDS))
 
     def run(batches):
         for batch in batches:
