@@ -13,10 +13,10 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import Field, instant
+from ..functions.fields import Field, instant, taken_out, with_taken
 from ..plans.sigma import COUNT_OPS, Rule, field_path
 
 LATENESS_US = 120_000_000
@@ -113,7 +113,8 @@ def feed(matches: DataFrame, rules: list[Rule], lateness_us: int = LATENESS_US)
     return marked.withColumn("watermark", mark).where("time_us >= watermark").drop("inside", "top_ahead", "stretch")
 
 
-def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str, event_fields: list[str]) -> DataFrame:
+def _key(rules: list[Rule], index: int, scope: str) -> Column:
+    """What one correlation makes of a match: its key, the rule's position, and the value; null if it takes no part."""
     c = rules[index].correlation
     refs = [reference(rules, n) for n in c.rules]
     if any(r is None for r in refs):
@@ -121,26 +122,39 @@ def _keyed(fed: DataFrame, rules: list[Rule], index: int, scope: str, event_fiel
     position = F.coalesce(*(F.when(F.col("rule_index") == r, F.lit(k)) for k, r in enumerate(refs)))
     scopes = {"file": F.col("file_path"), "host": F.coalesce("computer", F.lit("")), "global": F.lit("")}
     keys = [Field(field_path(g)).text for g in c.group_by]
-    rows = fed.where(F.col("rule_index").isin(refs))
-    for k in keys:
-        rows = rows.where(k.isNotNull())
     values = [Field(field_path(n)).text for n in c.fields] if c.kind == "value_count" else []
-    for v in values:
-        rows = rows.where(v.isNotNull())
-    return rows.select(
+    complete = F.col("rule_index").isin(refs)
+    for part in (*keys, *values):
+        complete &= part.isNotNull()
+    found = F.struct(
         F.lit(index).alias("correlation_index"),
         scopes[scope].alias("scope"),
         F.array(*keys).cast("array<string>").alias("groups"),
-        "file_path",
-        "file_seq",
-        "rec_seq",
-        "rule_index",
-        "time_us",
-        "watermark",
-        F.array(*(Field(n).text for n in event_fields)).cast("array<string>").alias("fields"),
         position.alias("position"),
         F.array(*values).cast("array<string>").alias("value"),
     )
+    return F.when(complete, found)
+
+
+def keyed(matches: DataFrame, rules: list[Rule], scope: str, event_fields: list[str] | None, *more: str) -> DataFrame:
+    """A row for each match (with time_us) and correlation that it takes part in, in one pass; more columns stay."""
+    if scope not in ("file", "host", "global"):
+        raise ValueError(f"scope {scope}")
+    kept = ["file_path", "file_seq", "rec_seq", "rule_index", "time_us", *more]
+    with taken_out() as columns:
+        found = F.array(*(_key(rules, i, scope) for i, r in enumerate(rules) if r.correlation))
+        fields = F.array(*(Field(n).text for n in event_fields or [])).cast("array<string>").alias("fields")
+    taking = F.explode(F.filter(found, lambda k: k.isNotNull())).alias("key")
+    return with_taken(matches, columns).select(*kept, fields, taking).select("key.*", "fields", *kept)
+
+
+def fold_plans(rules: list[Rule]) -> dict[int, tuple]:
+    """What a Fold is made with, by correlation."""
+    return {
+        i: (c.kind, c.op, c.count, len(c.rules), c.timespan_us)
+        for i, r in enumerate(rules)
+        if (c := r.correlation) is not None
+    }
 
 
 def _measured(rows: DataFrame, key: list[str], reach_us: int) -> tuple[int, int]:
@@ -174,19 +188,10 @@ def correlate(
     the texts of event_fields; seqs are their record numbers. scope: file, host or global. With max_state (0: without
     limit), the key whose latest match is oldest goes whenever more keys than that are alive.
     """
-    if scope not in ("file", "host", "global"):
-        raise ValueError(f"scope {scope}")
-    fed = feed(matches, rules, lateness_us)
-    chosen = [i for i, r in enumerate(rules) if r.correlation]
-    if not chosen:
+    plans = fold_plans(rules)
+    if not plans:
         return matches.sparkSession.createDataFrame([], OUT)
-    rows = None
-    for i in chosen:
-        part = _keyed(fed, rules, i, scope, event_fields or [])
-        rows = part if rows is None else rows.unionByName(part)
-    plans = {
-        i: (c.kind, c.op, c.count, len(c.rules), c.timespan_us) for i in chosen for c in [rules[i].correlation]
-    }
+    rows = keyed(feed(matches, rules, lateness_us), rules, scope, event_fields, "watermark")
     key = ["correlation_index", "scope", "groups"]
     reach = max(p[-1] for p in plans.values()) + lateness_us + 1
     most, total = _measured(rows, key, reach)
@@ -201,6 +206,17 @@ def correlate(
     return grouped.applyInPandas(fold, OUT)
 
 
+def entry(r) -> tuple:
+    told = (r.file_path, r.file_seq, r.rec_seq, r.rule_index, r.time_us, list(r.fields))
+    return r.time_us, r.position, tuple(r.value), told
+
+
+def telling(key: tuple, time_us: int, f: Fold) -> tuple:
+    """The row that is told, with all that is in the window."""
+    entries = [e[3] for e in f.entries]
+    return *key[:2], list(key[2]), time_us, f.entries[0][0], f.entries[-1][0], [e[2] for e in entries], entries
+
+
 def _folded(pdf: pd.DataFrame, plans: dict, max_state: int) -> Iterator[tuple]:
     pdf = pdf.sort_values(["file_seq", "rec_seq", "rule_index", "correlation_index"], kind="stable")
     state: dict[tuple, Fold] = {}
@@ -222,11 +238,8 @@ def _folded(pdf: pd.DataFrame, plans: dict, max_state: int) -> Iterator[tuple]:
                 heappush(ends, (r.time_us + f.span, key))
                 heappush(ages, (r.time_us, key))
         f = state[key]
-        told = (r.file_path, r.file_seq, r.rec_seq, r.rule_index, r.time_us, list(r.fields))
-        if f.observe((r.time_us, r.position, tuple(r.value), told), r.watermark):
-            first, last = f.entries[0][0], f.entries[-1][0]
-            entries = [e[3] for e in f.entries]
-            yield *key[:2], list(r.groups), r.time_us, first, last, [e[2] for e in entries], entries
+        if f.observe(entry(r), r.watermark):
+            yield telling(key, r.time_us, f)
         while max_state and len(state) > max_state:
             age, k = heappop(ages)
             if k not in state:
