@@ -514,7 +514,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     some = several.limit(1).count()
     released()
     if some:
-        links = _across_blocks(held, several, star, links, percent)
+        links = _across_blocks(held, held_bytes, several, star, links, percent)
     comp = written(components(links), "join-components")
     named = classes.select("set_hash", "doc_id").join(
         comp.select(F.col("node").alias("set_hash"), "component"), "set_hash", "left"
@@ -629,8 +629,8 @@ def _keyed(batches, percent: int, tasks: int):
 MATCHED = pa.schema([("set_hash", pa.int64()), ("band", pa.int64()), ("n", pa.int64()), ("c", pa.int64())])
 
 
-def _matched(table: pa.Table) -> pa.Table:
-    """For each set and band, how many of the task's shingles a set of another component has too."""
+def _meeting(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A task's keys in order, the place of each one's set, all sets, how many have the key, and if of several components."""
     keys, owners, sets, first = [], [], [], 0
     for key, at, own in zip(table["key"], table["at"], table["sets"], strict=True):
         rows = np.frombuffer(own.as_py(), np.int64).reshape(-1, 4)
@@ -644,15 +644,101 @@ def _matched(table: pa.Table) -> pa.Table:
     component = of[owner, 2]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-    several = np.repeat(several, np.diff(np.append(starts, len(key))))
+    count = np.diff(np.append(starts, len(key)))
+    return key, owner, of, np.repeat(count, count), np.repeat(several, count)
+
+
+def _matched(table: pa.Table) -> pa.Table:
+    """For each set and band, how many of the task's shingles a set of another component has too."""
+    _, owner, of, _, several = _meeting(table)
     count = np.bincount(owner[several], minlength=len(of))
     some = count > 0
     cols = (of[some, 0], of[some, 1], of[some, 3], count[some])
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=MATCHED)
 
 
+#: Shingles that sets of several components have, by the task of the set: their keys, how many sets have each, and for
+#: each the place of its set in sets, which has rows of (set_hash, band, component, size).
+COUNTED = pa.schema([("task", pa.int64()), *((c, pa.binary()) for c in ("key", "n", "at", "sets"))])
+
+
+def _counted(table: pa.Table, tasks: int) -> pa.Table:
+    """The task's shingles that sets of several components have, for the tasks where each set's shingles come together."""
+    key, owner, of, count, several = _meeting(table)
+    key, owner, count = key[several], owner[several], count[several].astype(np.uint32)
+    task = (_scrambled(of[:, 0].view(np.uint64) + of[:, 1].astype(np.uint64)) % U(tasks)).astype(np.int64)[owner]
+    order = np.argsort(task, kind="stable")
+    key, owner, count, task = key[order], owner[order], count[order], task[order]
+    starts = np.flatnonzero(np.diff(task, prepend=-1))
+    rows = []
+    for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
+        own, place = np.unique(owner[lo:hi], return_inverse=True)
+        place = place.astype(np.uint32)
+        rows.append((int(task[lo]), *(x.tobytes() for x in (key[lo:hi], count[lo:hi], place, of[own]))))
+    cols = zip(*rows, strict=True) if rows else [[] for _ in COUNTED]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, COUNTED.types, strict=True)], schema=COUNTED)
+
+
+PREFIX = pa.schema([("key", pa.int64()), ("set_hash", pa.int64()), ("band", pa.int64())])
+
+
+def _prefixes(table: pa.Table, percent: int) -> pa.Table:
+    """The rarest shingles of each set, as many as it can't do without all of them in a link.
+
+    Shingles are ordered by the number of sets that have them, those that no other component has first. Two sets that
+    link have percent / 100 of either in common, so the rarest common one is not among the last that either needs less one.
+    """
+    keys, counts, owners, sets, first = [], [], [], [], 0
+    for key, n, at, own in zip(*(table[c] for c in ("key", "n", "at", "sets")), strict=True):
+        rows = np.frombuffer(own.as_py(), np.int64).reshape(-1, 4)
+        keys.append(np.frombuffer(key.as_py(), np.uint64))
+        counts.append(np.frombuffer(n.as_py(), np.uint32))
+        owners.append(np.frombuffer(at.as_py(), np.uint32).astype(np.int64) + first)
+        sets.append(rows)
+        first += len(rows)
+    of, same = np.unique(np.concatenate(sets), axis=0, return_inverse=True)
+    owner, key = same.reshape(-1)[np.concatenate(owners)], np.concatenate(keys)
+    order = np.lexsort((key, np.concatenate(counts), owner))
+    owner, key = owner[order], key[order]
+    matched = np.bincount(owner, minlength=len(of))
+    most = matched + 1 + -percent * of[:, 3] // 100
+    take = np.arange(len(owner)) - (np.cumsum(matched) - matched)[owner] < most[owner]
+    owner, key = owner[take], key[take]
+    return pa.Table.from_arrays([pa.array(c) for c in (key.view(np.int64), of[owner, 0], of[owner, 1])], schema=PREFIX)
+
+
+def _parted(rows: DataFrame, percent: int) -> DataFrame:
+    """rows, one for each set and size band, in narrower neighbourhoods (route), without those that can't have a link.
+
+    Sets of different components that link have one of their rarest shingles in common (see _prefixes), so what these
+    connect is a neighbourhood. Passages that many sets have are among a set's rarest shingles only if it has little
+    else; they no longer hold unrelated sets together. Cost grows with the shingles and not with the pairs.
+    """
+    size = rows.agg(_size()).first()[0] or 0
+    tasks = lanes(size, TASK_SHINGLES // 2)
+    keyed = rows.mapInArrow(lambda b: _keyed(b, percent, tasks), "task long, key binary, at binary, sets binary")
+    counted = keyed.groupBy("task").applyInArrow(
+        lambda t: _counted(t, tasks), "task long, key binary, n binary, at binary, sets binary"
+    )
+    prefixes = counted.groupBy("task").applyInArrow(
+        lambda t: _prefixes(t, percent), "key long, set_hash long, band long"
+    )
+    node = F.xxhash64("set_hash", "band")
+    prefixes = written(prefixes.select("key", node.alias("node")), "join-prefixes")
+    hubs = prefixes.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    edges = written(
+        prefixes.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(),
+        "join-edges",
+    )
+    routes = components(edges).select("node", F.col("component").alias("route"))
+    out = rows.drop("route").withColumn("node", node).join(routes, "node").drop("node")
+    out = written(out, "join-parted")
+    released(prefixes, edges)
+    return out
+
+
 def _coverable(open_: DataFrame, percent: int) -> DataFrame:
-    """The rows of open_, one for each size band, whose set could still link with a set of another component.
+    """The rows of open_, one for each size band (or those it names), whose set could still link with a set of another component.
 
     A link needs a common part of percent / 100 of either set at least, so a set of which a smaller part is found in
     all other components of its neighbourhood and band together has no link. Sets that only share passages go here, at
@@ -660,7 +746,8 @@ def _coverable(open_: DataFrame, percent: int) -> DataFrame:
     while it takes many away.
     """
     names = ("set_hash", "route", "component", "band", "shingles")
-    now = open_.withColumn("band", F.lit(None).cast("long")).select(*names)
+    by = ["set_hash", "band"] if "band" in open_.columns else ["set_hash"]
+    now = (open_ if "band" in by else open_.withColumn("band", F.lit(None).cast("long"))).select(*names)
     count, size = now.agg(F.count(F.lit(1)), _size()).first()
     # A set lies in one or two bands.
     tasks = lanes(size or 0, TASK_SHINGLES // 2)
@@ -671,31 +758,44 @@ def _coverable(open_: DataFrame, percent: int) -> DataFrame:
         stays = stays.where(F.col("c") * 100 >= F.col("n") * percent).select("set_hash", "band")
         stays = written(stays, "join-coverable")
         before, count = count, stays.count()
-        now = written(open_.join(stays, "set_hash").select(*names), "join-covered")
+        now = written(open_.join(stays, by).select(*names), "join-covered")
         released()
         if not count or count > 0.8 * before:
             return now
 
 
-def _across_blocks(held, several, star, links, percent: int) -> DataFrame:
+#: Bytes of shingles that are dealt at once to be compared across blocks, about; or as many as all candidates have.
+ROUND_SHINGLES = 256 << 20
+
+
+def _rounds(amount: int, held: int) -> int:
+    """How many rounds deal so many bytes, so that what lies on disk at once follows the sets and not their pairs."""
+    return max(1, -(-amount // max(ROUND_SHINGLES, held)))
+
+
+def _across_blocks(held, held_bytes: int, several, star, links, percent: int) -> DataFrame:
     """Links between blocks of one neighbourhood.
 
-    Sets that the other components of their neighbourhood can't cover go first. Then the pairs that a part hash joins to
-    the part's first set are verified, which takes one row a pair and mostly joins a large group of near copies. Then,
-    in each neighbourhood and size band with several components left, sets outside its largest component are compared
-    with all, block by block, by the trees.
+    Sets that the other components of their neighbourhood can't cover go first, and the others' neighbourhoods are made
+    narrower (see _parted). Then the pairs that a part hash joins to the part's first set are verified, which takes one
+    row a pair and mostly joins a large group of near copies. Then, in each neighbourhood and size band with several
+    components left, sets outside its largest component are compared with all, block by block, by the trees. Where sets
+    would be copied for more pairs than one round takes, the pairs are dealt to several rounds, one after another.
     """
     lim = limits(percent)
+    group = ["route", "band"]
     open_ = _labelled(held, several, links)
-    first = _coverable(open_, percent)
+    covered = _coverable(open_, percent)
     released(open_)
-    alone = first.dropDuplicates(["set_hash"])
-    sized = alone.select("set_hash", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    one = sized.select(F.col("set_hash").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = sized.select(F.col("set_hash").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    first = _parted(covered, percent)
+    released(covered)
+    alone = written(first.select("set_hash", "shingles").dropDuplicates(["set_hash"]), "join-alone")
+    sized = first.select("set_hash", *group, "component", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    one = sized.select(F.col("set_hash").alias("a"), *group, F.col("component").alias("ca"), F.col("n").alias("na"))
+    two = sized.select(F.col("set_hash").alias("b"), *group, F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = star.join(one, "a").join(two, "b").where(near & (F.col("ca") != F.col("cb"))).select("a", "b")
-    apart = written(apart, "join-apart")
+    apart = star.join(one, "a").join(two, ["b", *group]).where(near & (F.col("ca") != F.col("cb")))
+    apart = written(apart.groupBy("a", "b").agg(F.max(F.col("na") + F.col("nb")).alias("n")), "join-apart")
     mine = alone.select(F.col("set_hash").alias("a"), F.col("shingles").alias("mine"))
     theirs = alone.select(F.col("set_hash").alias("b"), F.col("shingles").alias("theirs"))
 
@@ -708,35 +808,49 @@ def _across_blocks(held, several, star, links, percent: int) -> DataFrame:
                     rows.append((a.as_py(), b.as_py()))
             yield from _edges(rows).to_batches()
 
-    pairs = apart.join(mine, "a").join(theirs, "b").select("a", "b", "mine", "theirs")
-    links = written(links.union(pairs.mapInArrow(verify, "a long, b long")), "join-links")
-    open_ = _labelled(alone.select("set_hash", "route", "shingles"), several, links)
-    released(first)
-    left_open = _coverable(open_, percent)
+    rounds = _rounds(8 * (apart.agg(F.sum("n")).first()[0] or 0), held_bytes)
+    for k in range(rounds):
+        now = apart.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        pairs = now.join(mine, "a").join(theirs, "b").select("a", "b", "mine", "theirs")
+        links = links.union(written(pairs.mapInArrow(verify, "a long, b long"), "join-verified"))
+        released()
+    links = written(links, "join-links")
+    comp = components(links).select(F.col("node").alias("set_hash"), "component")
+    again = first.drop("component").join(comp, "set_hash", "left")
+    again = written(again.withColumn("component", F.coalesce("component", "set_hash")), "join-labelled")
+    ends = again.groupBy(*group).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    open_ = written(again.join(ends.select(*group), group), "join-open")
+    released(first, alone, apart, again)
+    covered = _coverable(open_, percent)
     released(open_)
-    group = ["route", "band"]
+    left_open = _parted(covered, percent)
+    released(covered)
     sizes = left_open.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("c"), _size().alias("size"))
     largest = sizes.groupBy(*group).agg(
         F.sum("c").alias("members"), F.sum("size").alias("size"), F.max(F.struct("c", "component", "size")).alias("top")
     )
+    left_size = F.col("size") - F.col("top.size")
     largest = written(
         largest.select(
             *group,
             F.col("top.component").alias("top"),
-            _blocks(F.col("members") - F.col("top.c"), F.col("size") - F.col("top.size")).alias("a_blocks"),
+            _blocks(F.col("members") - F.col("top.c"), left_size).alias("a_blocks"),
             _blocks(F.col("members"), F.col("size")).alias("b_blocks"),
+            left_size.alias("a_size"),
+            F.col("size").alias("b_size"),
         ).where("a_blocks > 0"),
         "join-largest",
     )
-    placed = left_open.join(largest, group)
     a_blocks, b_blocks = F.col("a_blocks"), F.col("b_blocks")
+    pairs_of_blocks, copied = largest.agg(
+        F.sum(a_blocks * b_blocks), F.sum(F.col("a_size") * b_blocks + F.col("b_size") * a_blocks)
+    ).first()
+    rounds = _rounds(copied or 0, held_bytes)
+    placed = left_open.join(largest, group)
     h = F.xxhash64("set_hash")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     cols = ["set_hash", *group, "shingles", "component"]
-    left = placed.where("component != top").select(
-        *cols, F.pmod(h, a_blocks).alias("i"), every(b_blocks).alias("j"), F.lit(True).alias("left")
-    )
-    right = placed.select(*cols, every(a_blocks).alias("i"), F.pmod(h, b_blocks).alias("j"), F.lit(False).alias("left"))
+    of_round = lambda i, j: F.pmod(F.xxhash64(*group, i, j), F.lit(rounds))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
 
     def across(table: pa.Table) -> pa.Table:
         groups: dict = {}
@@ -748,10 +862,17 @@ def _across_blocks(held, several, star, links, percent: int) -> DataFrame:
             [e for a, b in groups.values() if a and b for e in joined(list(a.items()), list(b.items()), same, percent)]
         )
 
-    pairs_of_blocks = largest.agg(F.sum(a_blocks * b_blocks)).first()[0] or 0
-    task = F.pmod(F.xxhash64(*group, "i", "j"), F.lit(lanes(pairs_of_blocks, 2)))
-    found = left.union(right).withColumn("task", task).groupBy("task").applyInArrow(across, "a long, b long")
-    return written(links.union(found), "join-links")
+    task = F.pmod(F.xxhash64(*group, "i", "j"), F.lit(lanes(pairs_of_blocks or 0, 2)))
+    for k in range(rounds):
+        left = placed.where("component != top").withColumn("i", F.pmod(h, a_blocks)).withColumn("left", F.lit(True))
+        left = left.withColumn("j", F.explode(F.filter(every(b_blocks), lambda j: of_round(F.col("i"), j) == k)))  # noqa: B023
+        right = placed.withColumn("j", F.pmod(h, b_blocks)).withColumn("left", F.lit(False))
+        right = right.withColumn("i", F.explode(F.filter(every(a_blocks), lambda i: of_round(i, F.col("j")) == k)))  # noqa: B023
+        both = left.select(*cols, "i", "j", "left").union(right.select(*cols, "i", "j", "left"))
+        found = both.withColumn("task", task).groupBy("task").applyInArrow(across, "a long, b long")
+        links = links.union(written(found, "join-found"))
+        released()
+    return written(links, "join-links")
 
 
 def op7_jaccard_join(spark, sf_dir):

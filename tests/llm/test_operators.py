@@ -135,6 +135,52 @@ def test_jaccard_join_compares_texts_without_id(spark, monkeypatch, words, perce
     assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows, words, percent)))
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_jaccard_join_across_blocks(spark, monkeypatch, rounds):
+    """Families of copies of all degrees that one passage holds together, compared over several blocks and rounds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "_rounds", lambda amount, held: rounds)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(7):
+            text = list(base)
+            for at in rng.sample(range(90), rng.randint(0, 5)):
+                text[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(text + passage)))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()]
+    wanted = brute_components(rows, 5, 80)
+    assert 8 < len({c for _, _, c in wanted}) < len(rows) - 8
+    assert sorted(got) == sorted(wanted)
+
+
+def test_jaccard_join_compares_only_sets_with_rare_shingles_in_common(spark, monkeypatch):
+    """A passage makes one neighbourhood of texts that each nearly link with one other; not all their blocks are compared."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    compared = []
+    write = jaccard_join.written
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "join-largest":
+            compared.extend(r.a_blocks * r.b_blocks for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for pair in range(20):
+        text = [f"t{pair}w{i}" for i in range(90)]
+        other = [*text[:30], "other", *text[31:60], "other", *text[61:80], "other", *text[81:]]
+        rows += [(2 * pair, " ".join(text + passage)), (2 * pair + 1, " ".join(other + passage))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(brute_components(rows, 5, 80))
+    assert 0 < sum(compared) <= len(rows)
+
+
 def test_signature_tree_loses_no_link():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
