@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import random
 import re
-import struct
 import zlib
+from itertools import compress, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import common_mark, spaced
-from .shared import doc_batches, documents, read_table, shuffle_partitions, tokenizer_path, written
+from .pretokens import LETTERS, chunk_starts, common_mark, spaced
+from .shared import byte_blocks, documents, read_table, shuffle_partitions, tokenizer_path, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
-BLOCK_BYTES = 8 << 20
-#: A worker holds the ids of up to twice as many words besides those of one text; the library encodes so many in one call.
-TABLE_ENTRIES = 300_000
-CALL_WORDS = 2000
+BLOCK_BYTES = 4 << 20
+#: A worker holds the ids of as many chunks besides those of one block; the library encodes so many words in one call.
+TABLE_ENTRIES = 600_000
+CALL_WORDS = 100
 #: About as many pieces share one group of islands; groups are drawn by hash, so they look alike.
 GROUP_PIECES = 4096
 ISLANDS = 4
@@ -40,17 +41,18 @@ PIECES = pa.schema(
     ]
 )
 PIECES_DDL = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+ONE_WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 _loaded: dict = {}
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordIds:
-    """The little-endian unsigned 32-bit ids of each pre-token, filled by the library once for each."""
+    """The ids of each chunk of text, which the library encodes once for each of its pre-tokens.
+
+    A table of all ids, and for each chunk its slot: where its ids start there, how many they are, and in how many
+    blocks it was. Slot 0 is the end of a document, the next ones are the special strings.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         import os
 
         from tokenizers import Tokenizer, pre_tokenizers
@@ -58,44 +60,135 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.alone = Tokenizer.from_file(path)
         added = self.alone.get_added_tokens_decoder()
-        self.special = {t.content: pack_ids([i]) for i, t in added.items()}
+        self.special = {t.content: i for i, t in added.items()}
         parts = sorted(self.special, key=len, reverse=True)
-        self.find = re.compile("(" + "|".join(map(re.escape, parts)) + ")") if parts else None
+        self.find = re.compile(b"|".join(re.escape(p.encode()) for p in parts)) if parts else None
         self.mark = common_mark(parts)
-        self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.ids: dict[str, bytes] = dict(self.special)
-        self.before: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        if self.find is None or self.mark not in text:
-            return spaced(text)
-        out: list[str] = []
-        for k, part in enumerate(self.find.split(text)):
-            out += [part] if k % 2 else spaced(part)
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alone.pre_tokenizer = whole
+        # Words joined by line feeds, which is faster than a call's many words each by itself.
+        self.joined = Tokenizer(self.alone.model)
+        if self.alone.normalizer is not None:
+            self.joined.normalizer = self.alone.normalizer
+        self.joined.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), whole])
+        self.end = end
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {s: k for k, s in enumerate(self.special, 1)}
+        self.used = self.held = 0
+        self.starts, self.lens, self.seen = (np.zeros(1024, t) for t in (np.int64, np.int32, np.int32))
+        self.ids = np.zeros(4096, "<u4")
+        first = [self.end, *self.special.values()]
+        self.append(np.array(first, "<u4"), np.ones(len(first), np.int32))
+
+    def append(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Slots for as many chunks as lens has, with their ids one after another."""
+        used, held = self.used + len(lens), self.held + len(ids)
+        if used > len(self.lens):
+            self.starts, self.lens, self.seen = (np.resize(x, 2 * used) for x in (self.starts, self.lens, self.seen))
+        if held > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * held)
+        self.lens[self.used : used] = lens
+        self.seen[self.used : used] = 0
+        self.starts[self.used : used] = self.held + np.cumsum(lens, dtype=np.int64) - lens
+        self.ids[self.held : held] = ids
+        self.used, self.held = used, held
+
+    def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots one after another, and where those of each end."""
+        lens = self.lens[slots]
+        ends = np.cumsum(lens, dtype=np.int64)
+        if not len(ends):
+            return np.zeros(0, "<u4"), ends
+        at = np.repeat(self.starts[slots] - ends + lens, lens)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def add_words(self, words: list[str]) -> None:
+        """Slots for new pre-tokens, by the library."""
+        split = [w for w in words if "\n" in w]
+        if split:
+            found = [e.ids for e in self.alone.encode_batch_fast(split, add_special_tokens=False)]
+            self.slots.update(zip(split, range(self.used, self.used + len(split)), strict=True))
+            self.append(np.array([i for f in found for i in f], "<u4"), np.array(list(map(len, found)), np.int32))
+            words = [w for w in words if "\n" not in w]
+        for at in range(0, len(words), CALL_WORDS):
+            some = words[at : at + CALL_WORDS]
+            e = self.joined.encode("\n".join(some), add_special_tokens=False)
+            self.slots.update(zip(some, range(self.used, self.used + len(some)), strict=True))
+            self.append(np.array(e.ids, "<u4"), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+
+    def add_chunks(self, chunks: list[str]) -> None:
+        """Slots for new chunks: those of their pre-tokens, or one for several together."""
+        single = [c for c in chunks if ONE_WORD(c)]
+        self.add_words(single)
+        several = []
+        if len(single) < len(chunks):
+            parts = [(c, spaced(c)) for c in chunks if c not in self.slots]
+            self.add_words([w for w in dict.fromkeys(w for _, p in parts for w in p) if w not in self.slots])
+            several = [(c, p) for c, p in parts if len(p) > 1]
+        if several:
+            ids, ends = self.gathered(np.array([self.slots[w] for _, p in several for w in p]))
+            ends = ends[np.cumsum([len(p) for _, p in several]) - 1]
+            self.slots.update(zip([c for c, _ in several], range(self.used, self.used + len(several)), strict=True))
+            self.append(ids, np.diff(ends, prepend=0))
+
+    def shrink(self) -> None:
+        """Start the table anew with the chunks of the most blocks, of two at least; at most half as many as it may hold."""
+        seen, least = self.seen[: self.used], 2
+        while np.count_nonzero(seen >= least) > TABLE_ENTRIES // 2:
+            least += 1
+        slots = np.fromiter(self.slots.values(), np.int64, len(self.slots))
+        kept = (seen[slots] >= least) & (slots > len(self.special))
+        names, slots = list(compress(self.slots, kept.tolist())), slots[kept]
+        ids, lens, seen = self.gathered(slots)[0], self.lens[slots], seen[slots]
+        self.clear()
+        first = self.used
+        self.slots.update(zip(names, range(first, first + len(names)), strict=True))
+        self.append(ids, lens)
+        self.seen[first : self.used] = seen // 2
+
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where special strings stand in the texts, from and to."""
+        out = []
+        if self.find is None or self.mark.encode() not in (whole := data.tobytes()):
+            return out
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            out += [(a + m.start(), a + m.end()) for m in self.find.finditer(whole[a:b])]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """All ids of a text. Words that are not used any more go from the table in the end."""
-        words = self.split(text)
-        if len(self.ids) > TABLE_ENTRIES:
-            self.before, self.ids = self.ids, dict(self.special)
-        new = []
-        for w in set(words).difference(self.ids):
-            if w in self.before:
-                self.ids[w] = self.before[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), CALL_WORDS):
-            some = new[at : at + CALL_WORDS]
-            for w, e in zip(some, self.alone.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[w] = pack_ids(e.ids)
-        return b"".join(map(self.ids.__getitem__, words))
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and where they end. Text i starts at offsets[i]."""
+        if len(self.slots) > TABLE_ENTRIES:
+            self.shrink()
+        bounds, inside = offsets, []
+        if special := self.specials(data, offsets):
+            bounds = np.union1d(offsets, np.array(special).ravel())
+            inside = np.concatenate([np.arange(a + 1, b) for a, b in special])
+        starts = chunk_starts(data, bounds)
+        if len(inside):
+            starts = starts[~np.isin(starts, inside)]
+        places = np.append(starts, len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.fromiter(map(self.slots.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            new = [names[k] for k in missing]
+            self.add_chunks(new)
+            slots[missing] = [self.slots[c] for c in new]
+        self.seen[slots] += 1
+        after = np.searchsorted(starts, offsets[1:])
+        every = np.insert(slots[chunks.indices.to_numpy()], after, 0)
+        ids, ends = self.gathered(every)
+        return ids, ends[after + np.arange(len(after))]
+
+
+def word_ids(path: str, end: int) -> WordIds:
+    if (path, end) not in _loaded:
+        _loaded[path, end] = WordIds(path, end)
+    return _loaded[path, end]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -115,16 +208,18 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        table, last = word_ids(path), pack_ids([end])
-        for ids, texts in doc_batches(batches, BLOCK_BYTES):
+        table = word_ids(path, end)
+        for doc_ids, texts, offsets in byte_blocks(batches, BLOCK_BYTES):
             rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                data = table.encode(text) + last
+            ids, ends = table.encode(texts, offsets)
+            data, at = memoryview(ids).cast("B"), 0
+            for doc_id, stop in zip(doc_ids, ends.tolist(), strict=True):
                 start = 0
-                for k, n in enumerate(cut(len(data) // 4, capacity)):
-                    rows.append((uid, doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
+                for k, n in enumerate(cut(stop - at, capacity)):
+                    rows.append((uid, doc_id, k, start, n, zlib.crc32(data[4 * (at + start) : 4 * (at + start + n)])))
                     start += n
                     uid += 1
+                at = stop
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, schema=PIECES)
 

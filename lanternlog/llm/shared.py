@@ -8,7 +8,9 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,27 @@ def doc_batches(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator
         yield ids, texts
 
 
+def byte_blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, data, offsets): like doc_batches, but the texts stay one run of UTF-8 bytes, text i at offsets[i].
+
+    A block lies in one Arrow batch and has at most block_bytes, or a single text.
+    """
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+        if not ids:
+            continue
+        _, places, data = texts.buffers()
+        offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(ids) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
+        start = 0
+        while start < len(ids):
+            fit = int(np.searchsorted(offsets, offsets[start] + block_bytes, "right")) - 1
+            stop = min(max(fit, start + 1), len(ids))
+            yield ids[start:stop], data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
+            start = stop
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as long and text alone, so that other columns of any name do not matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -387,6 +387,68 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+#: What pre-tokens and chunks may end at, and white space, signs and letters of which some look like others in UTF-8.
+ODD = ["a", "Z", "s", "ll", "re", "1", "²", "Ⅷ", " ", " ", " ", "  ", "\n", "\n", "\t", "\r", "\x1c", "\0", "\x7f", "\x85", "\xa0", "\u1680", "\u180e"]
+ODD += ["\u2009", "\u200b", "\u3000", "\u0301", "'", "'", "'s", "'ll", ".", ",", "!", "<", "é", "ñ", "×", "Ж", "٣", "ᠠ", "中", "😀", "<|endoftext|>", "<|endof", "text|>"]
+
+
+def odd_blocks(blocks=60):
+    rng = random.Random(11)
+    for _ in range(blocks):
+        some = rng.choice([ODD, rng.sample(ODD, 5)])
+        texts = ["".join(rng.choice(some) for _ in range(rng.choice([0, 1, 2, 3, 6, 30]))) for _ in range(100)]
+        data = [t.encode() for t in texts]
+        yield texts, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def test_chunks_have_the_matches_of_their_text():
+    from lanternlog.llm.pretokens import chunk_starts, spaced
+
+    for texts, data, offsets in odd_blocks():
+        starts = chunk_starts(data, offsets)
+        for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            at = [*starts[(starts >= a) & (starts < b)].tolist(), b]
+            assert [w for i, j in zip(at, at[1:]) for w in spaced(bytes(data[i:j]).decode())] == spaced(t)
+
+
+@pytest.mark.parametrize("entries", [600_000, 200])  # a small table starts anew every few blocks
+def test_ids_of_odd_texts(monkeypatch, entries):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(packing.VOCABULARY)
+    library, table = Tokenizer.from_file(path), packing.WordIds(path, 2)
+    monkeypatch.setattr(packing, "TABLE_ENTRIES", entries)
+    for texts, data, offsets in odd_blocks():
+        ids, ends = table.encode(data, offsets)
+        wanted = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == wanted and ends[-1] == len(ids)
+
+
+def test_known_words_are_not_split_again(monkeypatch):
+    calls = []
+    monkeypatch.setattr(packing, "spaced", lambda t, was=packing.spaced: calls.append(t) or was(t))
+    table = packing.WordIds(tokenizer_path(packing.VOCABULARY), 2)
+    text = b"One line, don't say it's two.\nOr so: " * 50
+    ids, ends = table.encode(np.frombuffer(text * 200, np.uint8), np.arange(201) * len(text))
+    assert len(calls) < 20 and len(np.unique(np.diff(ends))) == 1 and (np.split(ids, 200)[0] == np.split(ids, 200)[-1]).all()
+
+
+def test_blocks_of_bytes():
+    import pyarrow as pa
+    from lanternlog.llm.shared import byte_blocks
+
+    texts = ["ab", None, "", "é" * 9, "c", None, "xyz", "q" * 40, "r"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    none = pa.RecordBatch.from_arrays([pa.array([4, 5]), pa.array([None, None], pa.string())], ["doc_id", "text"])
+    for size in (1, 8, 1000):
+        got = []
+        for ids, data, offsets in byte_blocks([batch.slice(0, 4), batch.slice(4), none, none.slice(0, 0)], size):
+            assert len(offsets) == len(ids) + 1 and offsets[0] == 0 and offsets[-1] == len(data)
+            assert len(data) <= size or sum(np.diff(offsets) > 0) == 1
+            got += [(i, bytes(data[a:b]).decode()) for i, a, b in zip(ids, offsets, offsets[1:])]
+        assert got == [*((i, t or "") for i, t in enumerate(texts)), (4, ""), (5, "")]
+
+
 def test_scoring(docs, rows, empty):
     got = scoring.score_documents(docs).collect()
     assert len(got) == len(rows)
